@@ -8,6 +8,8 @@ import importlib
 _QUERIES = {
     "op3_packing": "packing",
     "op7_token_counts": "token_counts",
+    "op8_quality": "quality",
+    "op10_secrets": "secrets",
 }
 
 

@@ -7,6 +7,7 @@ import importlib
 #: Query -> module that holds a function of that name, and SQL_<name> where there is SQL.
 _QUERIES = {
     "op3_packing": "packing",
+    "op4_media": "media",
     "op7_token_counts": "token_counts",
     "op8_quality": "quality",
     "op10_secrets": "secrets",

@@ -13,11 +13,12 @@ BLOCK_BYTES = 8 << 20
 
 
 class Block(NamedTuple):
-    """Documents whose texts lie one after the other: text i is data[at[i]:at[i + 1]]."""
+    """Documents whose texts lie one after the other: text i is data[at[i]:at[i + 1]]; rest has the batch's other columns."""
 
-    doc_id: np.ndarray
+    doc_id: pa.Array
     data: np.ndarray
     at: np.ndarray
+    rest: list[pa.Array]
 
 
 def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,18 +34,18 @@ def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cuts batches of (doc_id, text) into blocks of about `most` bytes, and joins batches that are smaller."""
+    """Cuts batches of (doc_id, text, ...) into blocks of about `most` bytes, and joins batches that are smaller."""
     held: list[Block] = []
     size = 0
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, rest = batch.column(0), batch.columns[2:]
         data, at = _strings(batch.column(1))
         i = 0
         while i < len(ids):
             j = int(np.searchsorted(at, at[i] + most - size, side="right")) - 1
             j = min(len(ids), max(j, i + (not held)))
             if j > i:
-                held.append(Block(ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i]))
+                held.append(Block(ids[i:j], data[at[i] : at[j]], at[i : j + 1] - at[i], [c[i:j] for c in rest]))
                 size += int(at[j] - at[i])
             if j < len(ids) or size >= most:
                 yield _joined(held)
@@ -59,7 +60,8 @@ def _joined(parts: list[Block]) -> Block:
         return parts[0]
     base = np.cumsum([0, *(len(p.data) for p in parts)])
     at = np.concatenate([[0], *(p.at[1:] + b for p, b in zip(parts, base))])
-    return Block(np.concatenate([p.doc_id for p in parts]), np.concatenate([p.data for p in parts]), at)
+    rest = [pa.concat_arrays(c) for c in zip(*(p.rest for p in parts))]
+    return Block(pa.concat_arrays([p.doc_id for p in parts]), np.concatenate([p.data for p in parts]), at, rest)
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:

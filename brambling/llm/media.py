@@ -74,7 +74,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
             hashes = [thumbnail_hash(g) for g in greys]
             sizes = [(g.shape[1] * 8, g.shape[0] * 8) for g in greys]
             columns = [
-                pa.array(b.doc_id, pa.int64(), from_pandas=True),
+                b.doc_id,
                 pa.array(np.diff(b.at), pa.int64()),
                 pa.array([len(p) for p in payloads], pa.int64()),
                 pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),

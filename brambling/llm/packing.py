@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 zlib.crc32(tail, zlib.crc32(stream[4 * i : 4 * (i + k - 1)])) if e else zlib.crc32(stream[4 * i : 4 * (i + k)])
                 for i, k, e in zip(base.tolist(), length.tolist(), last.tolist())
             ]
-            ids_of = pa.array(b.doc_id, pa.int64(), from_pandas=True).take(pa.array(owner))
+            ids_of = b.doc_id.take(pa.array(owner))
             yield pa.RecordBatch.from_arrays(
                 [ids_of, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -97,7 +97,7 @@ def quality_statistics(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             found = statistics(b)
-            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64(), from_pandas=True), *(pa.array(found[c], pa.int64()) for c in _COUNTS)], ["doc_id", *_COUNTS])
+            yield pa.RecordBatch.from_arrays([b.doc_id, *(pa.array(found[c], pa.int64()) for c in _COUNTS)], ["doc_id", *_COUNTS])
 
     return texts(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
 

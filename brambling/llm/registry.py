@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_media": "media",
     "op7_token_counts": "token_counts",
     "op8_quality": "quality",
+    "op9_minhash": "minhash",
     "op10_secrets": "secrets",
 }
 

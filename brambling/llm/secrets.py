@@ -219,7 +219,7 @@ def scan_secrets(docs: DataFrame, extra: tuple[Rule, ...] = EXTRA) -> DataFrame:
             for i, own in found.items():
                 points = _code_points(b.data[b.at[i] : b.at[i + 1]].tobytes(), own)
                 spans[i] = [{"kind": kinds[k], "start": s, "end": e} for s, k, e in points]
-            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64(), from_pandas=True), pa.array(spans, span)], ["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(spans, span)], ["doc_id", "spans"])
 
     return texts(docs).mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, end: long>>")
 

@@ -35,7 +35,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         for b in blocks(batches):
             raw = b.data.tobytes()
             _, n = encoder.encode([raw[i:j].decode("utf-8", "replace") for i, j in zip(b.at[:-1], b.at[1:])])
-            yield pa.RecordBatch.from_arrays([pa.array(b.doc_id, pa.int64(), from_pandas=True), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long")
 

@@ -8,6 +8,7 @@ import importlib
 _QUERIES = {
     "op3_packing": "packing",
     "op4_media": "media",
+    "op5_pii": "pii",
     "op6_mixing": "mixing",
     "op7_token_counts": "token_counts",
     "op8_quality": "quality",

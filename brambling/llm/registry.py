@@ -7,6 +7,7 @@ import importlib
 #: Query -> module that holds a function of that name, and SQL_<name> where there is SQL.
 _QUERIES = {
     "op1_suffix_dedup": "suffixes",
+    "op2_toxicity": "toxicity",
     "op3_packing": "packing",
     "op4_media": "media",
     "op5_pii": "pii",

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id where ids are compared: it sorts after every other one.
 LAST_ID = (1 << 63) - 1
+#: Tables of up to this many short rows (an id or two, a number) are broadcast after they have been counted; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

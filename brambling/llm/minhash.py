@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, _strings, blocks, hash_runs, mix
-from .common import LAST_ID, documents, id_key, stored, text_key, texts
+from .common import BROADCAST_ROWS, LAST_ID, documents, id_key, stored, text_key, texts
 from .components import components
 from .words import windows, word_hashes, words
 
@@ -152,13 +152,13 @@ def _difference(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}._s{k}").bitwiseXOR(F.col(f"{b}._s{k}"))) for k in range(3)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """_row, doc_id, _id, _text, n_shingles and _class of every document."""
     plain = texts(docs)
     signed = stored(_signed(plain).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     # one node for each distinct set: the first of its rows
     nodes = signed.filter("n_shingles > 0").groupBy("_h0", "_h1").agg(F.min("_row").alias("_node"))
-    of_row = signed.select("_row", "_h0", "_h1", "doc_id", "n_shingles").join(nodes, ["_h0", "_h1"], "left").select("_row", "doc_id", "n_shingles", "_node")
+    of_row = signed.select("_row", "_h0", "_h1", "doc_id", "_text", "n_shingles").join(nodes, ["_h0", "_h1"], "left").select("_row", "doc_id", "_text", "n_shingles", "_node")
     own = signed.join(nodes.select(F.col("_node").alias("_row")), "_row", "left_semi")
     banded = own.select(F.col("_row").alias("_node"), F.explode("_bands").alias("_bucket"))
     shared = banded.groupBy("_bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("_bucket")
@@ -201,10 +201,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         of_row = of_row.join(class_of, "_node", "left")
     else:
         of_row = of_row.withColumn("_class", F.lit(None).cast("long"))
-    of_row = of_row.withColumn("_class", F.coalesce("_class", "_node", F.col("_row"))).withColumn("_id", id_key())
-    least = of_row.groupBy("_class").agg(F.min("_id").alias("_least"))
-    out = of_row.join(least, "_class")
-    return out.select(
+    return of_row.withColumn("_class", F.coalesce("_class", "_node", F.col("_row"))).withColumn("_id", id_key())
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    classified = _classified(docs)
+    least = classified.groupBy("_class").agg(F.min("_id").alias("_least"))
+    return classified.join(least, "_class").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("_least") != LAST_ID, F.col("_least")).alias("component_id"),
@@ -212,5 +216,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, with all their columns, without near-duplicates: of each class the document of the smallest id stays, of repeated rows one."""
+    columns = docs.columns
+    classified = stored(_classified(docs).select("_id", "_text", "_class"), "classes")
+    first = classified.groupBy("_class").agg(F.min(F.struct("_id", "_text")).alias("_first"))
+    gone = classified.join(first, "_class").filter(F.struct("_id", "_text") != F.col("_first")).select("_id", "_text").distinct()
+    gone = stored(gone, "gone")
+    held = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = held.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["_id", "_text"], "left_anti")
+    if not classified.groupBy("_id", "_text").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_text"])
+    return kept.select(*columns)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))

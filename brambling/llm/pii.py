@@ -196,7 +196,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     parts = F.transform("_merged", lambda s, i: F.concat(F.substr(F.col("text"), (first(i) + 1).cast("int"), (s["start"] - first(i)).cast("int")), F.get(names, s["kind"])))
     tail = F.substr(F.col("text"), (F.element_at("_merged", -1)["end"] + 1).cast("int"))
     clean = F.when(F.col("_merged").isNull(), F.col("_row.text")).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return found.select(*((clean.alias(c) if c == "text" else F.col("_row")[c].alias(c)) for c in columns))
+    out = found.select(*((clean.alias(c) if c == "text" else F.col("_row")[c].alias(c)) for c in columns))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from .blocks import Block, blocks, hash_runs, mix
 from .common import documents, labels, stored, texts
 from .words import BLANK, windows, word_hashes, words
 
-#: Labelled rows that the list is learned from, at most (the first ones in the order of a hash); more labels only narrow its thresholds.
+#: Labelled rows that the list is learned from, about, at most (by a hash of their ids); more labels only narrow its thresholds.
 TRAINING_ROWS = 40_000
 MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 12, 4, 0.9, 8
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_digits", "n_capitals", "n_marks")
@@ -208,10 +208,12 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def learn(stats: DataFrame, marked: DataFrame, rows: int = TRAINING_ROWS) -> list[Rule]:
-    """A decision list from `rows` labelled documents at most, the first ones in the order of a hash of their id."""
+    """A decision list from about `rows` labelled documents at most: all, or those whose ids' hashes lie below a bound."""
     marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("_quality")).filter("_quality in (0, 1) and doc_id is not null")
-    sample = stats.filter(~base_failed()).join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = sample.select("doc_id", "_quality", *(c.alias(n) for n, c in _features().items())).toPandas()  # `rows` at most
+    marked = marked.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    bound = min(1.0, rows / max(1, marked.count()))
+    sample = stats.filter(~base_failed()).join(marked.filter(F.col("_hash") < int(bound * (1 << 30))), "doc_id")
+    got = sample.select("doc_id", "_quality", *(c.alias(n) for n, c in _features().items())).toPandas()  # about `rows` at most
     if not len(got):
         return []
     got = got.sort_values("doc_id", kind="stable")

@@ -218,6 +218,12 @@ def learn(docs: DataFrame, marked: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     return Model(terms, weights, _fit(x, y))
 
 
+def _scores(found: tuple[np.ndarray, ...], weights: np.ndarray, coefficients: np.ndarray, n: int) -> np.ndarray:
+    doc, term, edits, quoted = found
+    x = _sums(doc, weights[term, edits] if len(weights) else np.zeros(len(term)), edits * 2 + quoted, n)
+    return 1 / (1 + np.exp(-np.clip(coefficients[0] + x @ coefficients[1:], -30, 30)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the number of matches of every document."""
     terms, weights, coefficients = model
@@ -225,11 +231,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)
         for b in blocks(batches, BATCH):
-            doc, term, edits, quoted = _matches(b, matcher)
-            value = weights[term, edits] if len(terms) else np.zeros(len(term))
-            x = _sums(doc, value, edits * 2 + quoted, len(b.doc_id))
-            p = 1 / (1 + np.exp(-np.clip(coefficients[0] + x @ coefficients[1:], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(p), pa.array(np.bincount(doc, minlength=len(b.doc_id)))], ["doc_id", "score", "n_matches"])
+            found = _matches(b, matcher)
+            p = _scores(found, weights, coefficients, len(b.doc_id))
+            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(p), pa.array(np.bincount(found[0], minlength=len(b.doc_id)))], ["doc_id", "score", "n_matches"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, n_matches long")
 
@@ -240,5 +244,22 @@ def toxicity(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_matches")
 
 
+def drop_toxic(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs, with all their columns, without those that a model learned from the labels predicts to be toxic."""
+    terms, weights, coefficients = learn(docs, marked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index("text"))
+            keep = []
+            for b in blocks(iter([pa.RecordBatch.from_arrays([text, text], ["doc_id", "text"])]), BATCH):
+                keep.append(_scores(_matches(b, matcher), weights, coefficients, len(b.doc_id)) < 0.5)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from brambling.plans import text_queries, visual_queries
+
 
 def queries() -> dict:
-    return {}
+    return text_queries.QUERIES | visual_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_queries.sql() | visual_queries.sql()

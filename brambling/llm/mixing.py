@@ -86,7 +86,8 @@ def mix(rows: DataFrame) -> DataFrame:
     stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("total")).collect()[0]  # one row
     wanted = targets(rows)
     if not stats["total"]:
-        return rows.join(wanted, rows["source"].eqNullSafe(wanted["source"])).select(*(rows[c] for c in rows.columns), "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        named = wanted.select(F.col("source").alias("_source"), "source_size")
+        return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(*rows.columns, "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     per = block_tokens(stats["total"])
     digits = max(2, math.ceil(math.log(max(1, stats["n"] / 5_000), 16)))
     wanted = stored(wanted, "targets")

@@ -30,10 +30,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     with the logarithm of the nodes.
     """
     now = stored(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]  # one row
-        if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = state
+    while not _is_flat(now):
         now = stored(_small_star(_large_star(now)), name)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _is_flat(links: DataFrame) -> bool:
+    """Whether every node is linked to one smaller node, which is linked to no smaller one."""
+    again = links.groupBy("u").agg(F.count("*").alias("_n")).filter("_n > 1").select("u")
+    return again.isEmpty() and links.select("u").join(links.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()

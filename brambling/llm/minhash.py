@@ -12,9 +12,12 @@ neighbouring entries of one table and a signature is the minimum of such rows.
 3. A bucket's members are linked to one of them, chosen anew in each of a few
    rounds, so that a large group of copies costs links in proportion to its
    members; every link is confirmed on the full sets.
+   The weightiest member is chosen, the one that shares most buckets with most
+   others: of edited copies that is the document they were made from.
 4. For buckets whose members are still of several components, the pairs that
-   lie in different ones are all confirmed, unless their 192-bit sketches differ
-   in more than SKETCH_BITS (at a similarity of 0.75 seven deviations away).
+   lie in different ones are all confirmed, unless their sizes are too different
+   or their sketches of WIDE further coordinates differ in more than WIDE_BITS
+   (at a similarity of 0.75 that is over five deviations away).
 5. Components come from distributed star contraction.
 
 Documents without words are linked with nothing. Repeated rows have equal sets
@@ -41,20 +44,22 @@ BANDS, ROWS = 48, 4
 K = BANDS * ROWS
 PLACES = 1 << 20
 SKETCH_BITS = 56
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Coordinates of the sketch that decides which pairs of different components are compared, one bit each, and in how many they may differ: 512 are expected at a similarity of 0.75, with a deviation of 21.
+WIDE, WIDE_BITS = 4096, 630
 #: Ids of candidate documents are broadcast up to this many (16 bytes each); beyond that their texts are found by a shuffled join.
 BROADCAST_IDS = 1_000_000
 #: The second permutation, with its first entries again at the end, so that shifts need no wrapping.
 _table: np.ndarray | None = None
 
 
-def _rows() -> np.ndarray:
-    """Row p has the second permutation's values at places p, p + 1, ..., p + K - 1."""
+def _rows(k: int) -> np.ndarray:
+    """Row p has the second permutation's values at places p, p + 1, ..., p + k - 1."""
     global _table
     if _table is None:
         order = np.argsort(mix(np.arange(PLACES, dtype=np.uint64) + np.uint64(1 << 40)), kind="stable").astype(np.uint32)
-        _table = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: K - 1]]), K)
-    return _table
+        _table = np.concatenate([order, order[:WIDE]])
+    return np.lib.stride_tricks.sliding_window_view(_table[: PLACES + k - 1], k)
 
 
 def shingle_sets(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +87,15 @@ def hash_of_sequence(hashes: np.ndarray) -> np.uint64:
     return hash_runs(raw, np.array([0]), np.array([len(raw)]), 11)[0]
 
 
-def signatures(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """K minima for each document; of an empty set the largest value."""
-    rows = _rows()
+def signatures(keys: np.ndarray, counts: np.ndarray, k: int = K) -> np.ndarray:
+    """The minima of k shifts for each document; of an empty set the largest value."""
+    rows = _rows(k)
     place = (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(44)).astype(np.int64)
-    out = np.full((len(counts), K), PLACES, np.uint32)
+    out = np.full((len(counts), k), PLACES, np.uint32)
     at = np.concatenate([[0], np.cumsum(counts)])
     for i in np.flatnonzero(counts).tolist():
-        for s in range(at[i], at[i + 1], 4096):
-            np.minimum(out[i], rows[place[s : min(s + 4096, at[i + 1])]].min(axis=0), out=out[i])
+        for s in range(at[i], at[i + 1], 256):
+            np.minimum(out[i], rows[place[s : min(s + 256, at[i + 1])]].min(axis=0), out=out[i])
     return out
 
 
@@ -108,7 +113,7 @@ def _signed(b: DataFrame) -> DataFrame:
     schema = "doc_id long, _text long, n_shingles long, _h0 long, _h1 long, _s0 long, _s1 long, _s2 long, _bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, 4 << 20):
             keys, counts = shingle_sets(block)
             at = np.concatenate([[0], np.cumsum(counts)])
             sums = []
@@ -128,7 +133,7 @@ def _confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose full sets are similar enough; found has the text of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in blocks(batches, 2 << 20):
             n = len(b.doc_id)
             data, at = _strings(b.rest[1])
             left, n_left = shingle_sets(b)
@@ -147,9 +152,33 @@ def _confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("u", "_left", "v", "_right").mapInArrow(run, "u long, v long")
 
 
-def _difference(a: str, b: str) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.col(f"{a}._s{k}").bitwiseXOR(F.col(f"{b}._s{k}"))) for k in range(3)), F.lit(0))
+def _wide_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The lowest bits of WIDE coordinates, a few documents at a time: whole signatures would take 16 KB each."""
+    out = np.zeros((len(counts), WIDE // 64), np.int64)
+    at = np.concatenate([[0], np.cumsum(counts)])
+    for i in range(0, len(counts), 64):
+        j = min(len(counts), i + 64)
+        bits = (signatures(keys[at[i] : at[j]], counts[i:j], WIDE) & 1).astype(np.uint8)
+        out[i:j] = np.packbits(bits, axis=1).view(np.int64)
+    return out
+
+
+def _wide(found: DataFrame) -> DataFrame:
+    """_node, _size and a sketch of WIDE bits of documents with _node and _found."""
+    schema = "_node long, _size long, " + ", ".join(f"_w{k} long" for k in range(WIDE // 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, 2 << 20):
+            keys, counts = shingle_sets(b)
+            sketch = _wide_bits(keys, counts)
+            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(counts, pa.int64()), *(pa.array(x.copy()) for x in sketch.T)], [c.split()[0] for c in schema.split(", ")])
+
+    return found.select("_node", "_found").mapInArrow(run, schema)
+
+
+def _difference(names: list[str]) -> Column:
+    """Bits in which the sketches of a and b differ."""
+    return sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
 
 
 def _classified(docs: DataFrame) -> DataFrame:
@@ -161,46 +190,52 @@ def _classified(docs: DataFrame) -> DataFrame:
     of_row = signed.select("_row", "_h0", "_h1", "doc_id", "_text", "n_shingles").join(nodes, ["_h0", "_h1"], "left").select("_row", "doc_id", "_text", "n_shingles", "_node")
     own = signed.join(nodes.select(F.col("_node").alias("_row")), "_row", "left_semi")
     banded = own.select(F.col("_row").alias("_node"), F.explode("_bands").alias("_bucket"))
-    shared = banded.groupBy("_bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("_bucket")
+    shared = banded.groupBy("_bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
     members = stored(banded.join(shared, "_bucket"), "buckets")
-    sketches = own.select(F.col("_row").alias("_node"), "_s0", "_s1", "_s2")
-    where = own.select(F.col("_row").alias("_node"), id_key().alias("_id"), "_text").join(members.select("_node").distinct(), "_node", "left_semi")
-    where = stored(where.join(sketches, "_node"), "candidates")
+    # of a group of copies the document that the others were made from shares most buckets with most of them
+    weight = members.groupBy("_node").agg(F.sum("_n").alias("_weight"))
+    where = own.select(F.col("_row").alias("_node"), id_key().alias("_id"), "_text", "_s0", "_s1", "_s2").join(weight, "_node")
+    where = stored(where, "candidates")
     ids = where.select("_node", "_id", "_text")
-    ids = F.broadcast(ids) if where.count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if where.count() <= BROADCAST_ROWS else ids
     keyed = plain.select(id_key().alias("_id"), text_key().alias("_text"), F.col("text").alias("_found"))
     found = stored(keyed.join(ids, ["_id", "_text"]).groupBy("_node").agg(F.first("_found").alias("_found")), "candidate_texts")
 
-    links: DataFrame | None = None
-    class_of: DataFrame | None = None
+    classes = where.select("_node", F.col("_node").alias("_class"))
+    members = members.select("_bucket", "_node").join(where.select("_node", "_weight", "_s0", "_s1", "_s2"), "_node")
     tested: DataFrame | None = None
     for turn in range(STAR_ROUNDS + 1):
-        now = members.join(where.select("_node", "_s0", "_s1", "_s2"), "_node")
-        now = now.withColumn("_class", F.col("_node")) if class_of is None else now.join(class_of, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
-        if class_of is not None:  # only buckets with members of several classes still matter
-            mixed = now.groupBy("_bucket").agg(F.min("_class").alias("_a"), F.max("_class").alias("_b")).filter("_a <> _b").select("_bucket")
-            now = stored(now.join(mixed, "_bucket"), "mixed")
-        if turn < STAR_ROUNDS:
-            one = F.min(F.struct(F.xxhash64("_node", F.lit(turn)).alias("_o"), "_node", "_class", "_s0", "_s1", "_s2"))
-            other = now.groupBy("_bucket").agg(one.alias("_c")).select("_bucket", "_c.*")
-            apart = F.col("a._class") != F.col("b._class")
+        now = members.join(classes, "_node")
+        if turn:  # only buckets with members of several classes still matter
+            mixed = now.groupBy("_bucket").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).filter("_low <> _high")
+            now = now.join(mixed, "_bucket")
+            now = stored(now, "mixed")
+            if now.isEmpty():
+                break
+        near = _difference(["_s0", "_s1", "_s2"]) <= SKETCH_BITS
+        one = F.struct("_weight", "_node", "_class", "_s0", "_s1", "_s2")
+        if not turn:
+            other, apart = now.groupBy("_bucket").agg(F.max(one).alias("_c")).select("_bucket", "_c.*"), F.col("a._class") != F.col("b._class")
+        elif turn < STAR_ROUNDS:  # the weightiest member of two of the bucket's classes
+            ends = F.array(F.max(F.when(F.col("_class") == F.col("_low"), one)), F.max(F.when(F.col("_class") == F.col("_high"), one)))
+            other, apart = now.groupBy("_bucket").agg(ends.alias("_c")).select("_bucket", F.explode("_c").alias("_c")).select("_bucket", "_c.*"), F.col("a._class") != F.col("b._class")
         else:
+            now = now.join(stored(_wide(found.join(now.select("_node").distinct(), "_node", "left_semi")), "wide"), "_node")
             other, apart = now, F.col("a._class") < F.col("b._class")
-        pairs = now.alias("a").join(other.alias("b"), "_bucket").filter(apart & (_difference("a", "b") <= SKETCH_BITS))
+            shares = 100 * F.least("a._size", "b._size") >= PERCENT * F.greatest("a._size", "b._size")
+            near = shares & (_difference([f"_w{k}" for k in range(WIDE // 64)]) <= WIDE_BITS)
+        pairs = now.alias("a").join(other.alias("b"), "_bucket").filter(apart & near)
         pairs = pairs.select(F.greatest("a._node", "b._node").alias("u"), F.least("a._node", "b._node").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")
-        new = stored(_confirmed(pairs, found), "links")
         tested = pairs if tested is None else tested.union(pairs)
-        if new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        class_of = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_class"))
-    if class_of is not None:
-        of_row = of_row.join(class_of, "_node", "left")
-    else:
-        of_row = of_row.withColumn("_class", F.lit(None).cast("long"))
+        links = stored(_confirmed(pairs, found), "links")
+        left, right = classes.select(F.col("_node").alias("u"), F.col("_class").alias("_cu")), classes.select(F.col("_node").alias("v"), F.col("_class").alias("_cv"))
+        joined = components(links.join(left, "u").join(right, "v").select(F.col("_cu").alias("u"), F.col("_cv").alias("v")))
+        moved = classes.join(joined, F.col("_class") == F.col("node"), "left").select("_node", F.coalesce("component", "_class").alias("_class"))
+        classes = stored(moved, "classes")
+    of_row = of_row.join(classes, "_node", "left")
     return of_row.withColumn("_class", F.coalesce("_class", "_node", F.col("_row"))).withColumn("_id", id_key())
 
 

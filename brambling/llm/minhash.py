@@ -221,9 +221,12 @@ def _classified(docs: DataFrame) -> DataFrame:
             other, apart = now.groupBy("_bucket").agg(ends.alias("_c")).select("_bucket", F.explode("_c").alias("_c")).select("_bucket", "_c.*"), F.col("a._class") != F.col("b._class")
         else:
             now = now.join(stored(_wide(found.join(now.select("_node").distinct(), "_node", "left_semi")), "wide"), "_node")
+            now = now.join(own.select(F.col("_row").alias("_node"), "_bands"), "_node")
             other, apart = now, F.col("a._class") < F.col("b._class")
             shares = 100 * F.least("a._size", "b._size") >= PERCENT * F.greatest("a._size", "b._size")
             near = shares & (_difference([f"_w{k}" for k in range(WIDE // 64)]) <= WIDE_BITS)
+            # a pair that shares several buckets comes from the least of them only
+            near = near & (F.array_min(F.array_intersect("a._bands", "b._bands")) == F.col("_bucket"))
         pairs = now.alias("a").join(other.alias("b"), "_bucket").filter(apart & near)
         pairs = pairs.select(F.greatest("a._node", "b._node").alias("u"), F.least("a._node", "b._node").alias("v")).distinct()
         if tested is not None:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text that a worker handles at once; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
 
@@ -53,6 +55,13 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
             i = j
     if held:
         yield _joined(held)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as Python workers stay for later tasks; does nothing where the C library cannot."""
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def _joined(parts: list[Block]) -> Block:

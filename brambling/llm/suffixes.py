@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, mix, ragged, words8
+from .blocks import Block, blocks, mix, ragged, release, words8
 from .common import documents, id_key, stored, text_key, texts
 
 LENGTH, ANCHOR = 50, 20
@@ -49,8 +49,8 @@ LENGTH, ANCHOR = 50, 20
 REACH = LENGTH - ANCHOR
 CONTEXT = REACH + LENGTH
 KEY_BITS = 44
-BUCKET_BYTES = 12 << 20
-BATCH = 4 << 20
+BUCKET_BYTES = 6 << 20
+BATCH = 3 << 19
 #: Rows (30 bytes and a document's few spans) that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _ROW = "dest long, kind int, block long, a binary, b binary, c binary"
@@ -102,8 +102,8 @@ def records(data: np.ndarray, at: np.ndarray) -> Records:
 def contexts(data: np.ndarray, r: Records) -> np.ndarray:
     """A row of CONTEXT bytes for each record: those before the anchor, backwards, then those from it on; zero beyond its suffixes."""
     padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(LENGTH, np.uint8)])
-    left = padded[(r.anchor + REACH - 1)[:, None] - np.arange(REACH)]
-    right = padded[(r.anchor + REACH)[:, None] + np.arange(LENGTH)]
+    around = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[r.anchor]
+    left, right = around[:, REACH - 1 :: -1].copy(), around[:, REACH:]
     left[np.arange(REACH) >= (r.anchor - r.first)[:, None]] = 0
     right[np.arange(LENGTH) >= (r.last + LENGTH - r.anchor)[:, None]] = 0
     return np.concatenate([left, right], axis=1)
@@ -209,6 +209,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[i
             held.append(row)
     if held:
         yield held[-1][column], held
+    release()
 
 
 def _dealt(df: DataFrame, by: str) -> DataFrame:

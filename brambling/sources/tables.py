@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from brambling.operators.text_index import TextIndex
 
@@ -100,6 +99,3 @@ class IndexStore:
 
     def postings_batch(self, name: str, terms: list[str]) -> DataFrame:
         return self.load(name).postings.filter(F.col("term").isin(terms))
-
-
-HITS = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("name", T.StringType()), T.StructField("snippet", T.StringType())])

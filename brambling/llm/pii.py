@@ -126,9 +126,13 @@ def _contexts(spanned: DataFrame) -> DataFrame:
 def disclosing_terms(spanned: DataFrame, docs: DataFrame) -> DataFrame | None:
     """_id, _text, _terms: which disclosing terms each document has; None if no term is one. docs: texts(), spanned: their stored spans."""
     contexts = stored(_contexts(spanned), "contexts")
-    seen = contexts.select("_entity", "_context", F.explode(F.array_distinct("_near")).alias("_term"))
-    candidates = seen.distinct().groupBy("_entity", "_term").agg(F.count("*").alias("_contexts")).filter(F.col("_contexts") >= MIN_CONTEXTS)
-    candidates = stored(candidates.select("_entity", "_term"), "candidate_terms")
+    seen = contexts.select("_id", "_text", "_entity", "_context", F.explode(F.array_distinct("_near")).alias("_term"))
+    n_contexts = seen.select("_entity", "_context", "_term").distinct().groupBy("_entity", "_term").agg(F.count("*").alias("_contexts")).filter(F.col("_contexts") >= MIN_CONTEXTS)
+    n_both = seen.select("_id", "_text", "_entity", "_term").distinct().groupBy("_entity", "_term").agg(F.count("*").alias("_n_both"))
+    # a term is in at least as many documents as it is beside entities in, so most common words are out before the corpus is searched
+    n_near = seen.select("_id", "_text", "_term").distinct().groupBy("_term").agg(F.count("*").alias("_n_near"))
+    candidates = n_both.join(n_contexts, ["_entity", "_term"]).join(n_near, "_term").filter(F.col("_n_both") >= MIN_SHARE * F.col("_n_near"))
+    candidates = stored(candidates.select("_entity", "_term", "_n_both"), "candidate_terms")
     n_candidates = candidates.count()
     if not n_candidates:
         return None
@@ -140,13 +144,10 @@ def disclosing_terms(spanned: DataFrame, docs: DataFrame) -> DataFrame | None:
     n_term = having.groupBy("_term").agg(F.count("*").alias("_n_term"))
     entity_docs = contexts.select("_id", "_text", "_entity").distinct()
     n_entity = entity_docs.groupBy("_entity").agg(F.count("*").alias("_n_entity"))
-    n_both = (
-        contexts.select("_id", "_text", "_entity", F.explode("_near").alias("_term")).distinct().join(candidates, ["_entity", "_term"], "left_semi").groupBy("_entity", "_term").agg(F.count("*").alias("_n_both"))
-    )
     total = spanned.agg(F.count("*").alias("_n"))
     share = F.col("_n_both") / F.col("_n_term")
     bits = F.log2(share * F.col("_n") / F.col("_n_entity"))
-    chosen = n_both.join(n_term, "_term").join(n_entity, "_entity").crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & (bits >= MIN_BITS))  # one row
+    chosen = candidates.join(n_term, "_term").join(n_entity, "_entity").crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & (bits >= MIN_BITS))  # one row
     chosen = stored(chosen.select("_term").distinct(), "terms")
     if chosen.isEmpty():
         return None

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_key, stored, text_key, texts
+from .common import BROADCAST_ROWS, documents, id_key, stored, text_key, texts
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 #: The base kinds in their order. Runs are possessive and begin where a run or the last match ends, so that no text takes quadratic time.
@@ -151,12 +151,14 @@ def disclosing_terms(spanned: DataFrame, docs: DataFrame) -> DataFrame | None:
     chosen = stored(chosen.select("_term").distinct(), "terms")
     if chosen.isEmpty():
         return None
-    return having.join(chosen, "_term", "left_semi").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms"))  # of one document
+    having = having.join(chosen, "_term", "left_semi").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms"))  # of one document
+    return stored(having, "disclosing")
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Adds the term spans of documents with text, _id, _text and _spans."""
     either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     joined = docs.join(terms, ["_id", "_text"], "left")
     joined = _add_spans(joined.withColumn("_either", either), "_own", F.col("_either"), len(KINDS), F.col("_terms").isNotNull())
     return joined.withColumn("_spans", F.sort_array(F.concat("_spans", "_own"))).drop("_terms", "_either", "_own")

@@ -13,6 +13,10 @@
    two-level sums too.
 5. A document is taken as often as the blocks that cover its words.
 
+The query op6_mixing is steps 1 to 5, as its SQL fixes them. Slots are coarse
+beside a small source, so mix(), which the pipeline uses, settles each source
+exactly instead: the first words of the stream of step 4, as many as the target.
+
 Null texts have no words; a null source is a source of its own, the last one;
 repeated rows are documents of their own; an empty table gives no rows, and
 without any words all targets are 0.
@@ -81,27 +85,58 @@ def schedule(wanted: DataFrame, total: int) -> DataFrame:
     return ranked.join(base, ["_s", "_chunk"]).select("_slot", "_s", (F.col("_rank") + F.col("_base")).alias("_rank"))
 
 
+def _without_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    named = wanted.select(F.col("source").alias("_source"), "source_size")
+    return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(*rows.columns, "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+
+
+def _stream(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The n rows with _s, source_size, target and _start, where a document's words begin in its source's stream."""
+    digits = max(2, math.ceil(math.log(max(1, n / 5_000), 16)))
+    named = wanted.select(F.col("source").alias("_source"), "_s", "source_size", "target")
+    own = rows.select("_row", "doc_id", "source", "_size").join(named, F.col("source").eqNullSafe(F.col("_source")))
+    own = own.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_shard", F.substring("_hash", 1, digits))
+    so_far = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("_s", "_shard").agg(F.sum("_size").alias("_n")).select("_s", "_shard", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_s", "_shard").orderBy("_hash", "doc_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    return own.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(base, ["_s", "_shard"]).withColumn("_start", F.col("_inside") + F.col("_base"))
+
+
+def _totals(rows: DataFrame):
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("total")).collect()[0]  # one row
+
+
 def mix(rows: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to rows with doc_id, source, _size and a unique _row, which must be a written table."""
-    stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("total")).collect()[0]  # one row
+    """Adds source_size, target and taken to rows with doc_id, source, _size and a unique _row, which must be a written table.
+
+    Each source is settled to the word: its stream is taken in whole rounds and
+    then from its beginning, until the target, rounded, is reached.
+    """
+    stats = _totals(rows)
     wanted = targets(rows)
     if not stats["total"]:
-        named = wanted.select(F.col("source").alias("_source"), "source_size")
-        return rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(*rows.columns, "source_size", F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return _without_words(rows, wanted)
+    own = _stream(rows, stored(wanted, "targets"), stats["n"])
+    words = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
+    size = F.greatest("source_size", F.lit(1))
+    rest = F.greatest(F.lit(0), F.least(F.col("_size"), words % size - F.col("_start")))
+    placed = own.select("_row", "source_size", "target", (F.floor(words / size) * F.col("_size") + rest).cast("long").alias("taken"))
+    return rows.join(placed, "_row").select(*rows.columns, "source_size", "target", "taken")
+
+
+def scheduled_mix(rows: DataFrame) -> DataFrame:
+    """As mix(), but in whole slots of the schedule, as the query's SQL has it: a source is off its target by up to a few blocks."""
+    stats = _totals(rows)
+    wanted = targets(rows)
+    if not stats["total"]:
+        return _without_words(rows, wanted)
     per = block_tokens(stats["total"])
-    digits = max(2, math.ceil(math.log(max(1, stats["n"] / 5_000), 16)))
     wanted = stored(wanted, "targets")
     n_blocks = F.ceil(F.col("source_size") / per)
     taken = schedule(wanted, stats["total"]).join(wanted, "_s").filter(F.col("_rank") < MOST * n_blocks)
     times = taken.groupBy("_s", (F.col("_rank") % n_blocks).alias("_block")).agg(F.count("*").alias("_times"))
 
-    named = wanted.select(F.col("source").alias("_source"), "_s", "source_size", "target")
-    own = rows.select("_row", "doc_id", "source", "_size").join(named, F.col("source").eqNullSafe(F.col("_source")))
-    own = own.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_shard", F.substring("_hash", 1, digits))
-    so_far = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = own.groupBy("_s", "_shard").agg(F.sum("_size").alias("_n")).select("_s", "_shard", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_s", "_shard").orderBy("_hash", "doc_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    own = own.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(base, ["_s", "_shard"]).withColumn("_start", F.col("_inside") + F.col("_base"))
+    own = _stream(rows, wanted, stats["n"])
     end = F.col("_start") + F.col("_size")
     spread = own.filter("_size > 0").select("_row", "_s", "_start", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_start") / per), F.floor((end - 1) / per))).alias("_block"))
     overlap = F.least("_end", (F.col("_block") + 1) * per) - F.greatest("_start", F.col("_block") * per)
@@ -135,7 +170,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_size"))
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "sizes")
-    return mix(rows).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
+    return scheduled_mix(rows).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
 #: The same by closed form where a window needs no second level.

@@ -268,6 +268,22 @@ def test_mixing(docs, rows, none):
     assert mixed.select(F.sum(mixing.n_words(F.col("text")))).collect()[0][0] == sum(taken.values())
 
 
+@pytest.mark.parametrize("large", [80_000_000, 5_000_000_000])
+def test_mixing_settles_small_sources_exactly(spark, large):
+    from brambling.llm.common import stored
+
+    sizes = {"a": [large // 1000] * 1000, "b": [7, 43], "c": [300], "d": [100] * 30, "e": [large // 2000] * 1000, "f": [0, 0]}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    made = mixing.mix(stored(spark.createDataFrame(rows, "doc_id long, source string, _size long").withColumn("_row", F.col("doc_id")), "t")).collect()
+    taken, target = Counter(), {}
+    for r in made:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["_size"]
+    assert len(made) == len(rows) and (taken["b"], taken["c"], taken["d"], taken["f"]) == (150, 900, 9000, 0)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+
+
 def test_quality(spark, docs, rows, none):
     stats = {}
     for i, t in _text(rows):

@@ -84,7 +84,7 @@ class Matcher:
                     out.add((child, e))
                 elif e < self.edits and self.reach[child] >= FUZZY_LENGTH:
                     out.add((child, e + 1))
-            if e < self.edits and node and self.reach[node] >= FUZZY_LENGTH:
+            if e < self.edits and self.reach[node] >= FUZZY_LENGTH:
                 out.add((node, e + 1))
         return self._number(self._closed(out))
 

@@ -399,6 +399,16 @@ def test_automaton_equals_edit_distance():
     assert term.tolist() == [0, 0, 0, -1, -1] and edits.tolist()[:3] == [0, 1, 1]
 
 
+def test_automaton_accepts_a_letter_before_the_first():
+    terms = ["idiot", "moron", "abcde", "fghij", "abc"]
+    words = [c + t for t in terms for c in "@*$xabm"]
+    term, edits = lexicon.Matcher([(t, False) for t in terms]).match(words)
+    want = [(i if len(t) >= lexicon.FUZZY_LENGTH else -1, int(len(t) >= lexicon.FUZZY_LENGTH)) for i, t in enumerate(terms) for _ in range(7)]
+    assert list(zip(term.tolist(), edits.tolist())) == want
+    term, edits = lexicon.Matcher([("idiot", True), ("abc", True)]).match(["@idiotic", "@idiot", "xxidiot", "xabc"])
+    assert term.tolist() == [0, 0, -1, -1] and edits.tolist() == [1, 1, 0, 0]
+
+
 def test_toxicity_learns_and_separates_quotation(spark, none):
     rnd = random.Random(9)
     plain = ["river", "stone", "garden", "window", "paper", "simple", "morning", "bridge", "little", "number"]

@@ -2,11 +2,14 @@
 
 Base kinds are found by expressions whose matches, and the gaps between them,
 give every span's place without leaving the JVM. The method adds terms: words
-that stand next to a protected entity in several different contexts are
-candidates, and the whole corpus says how much they disclose. A term discloses
-an entity if it was seen beside it in at least MIN_CONTEXTS different contexts,
-if P(entity | term) over all documents is at least MIN_SHARE, and if knowing the
-term adds at least MIN_BITS bits, log2(P(entity | term) / P(entity)). All whole
+that share documents with a protected entity, anywhere in them, are candidates,
+and the whole corpus says how much they disclose. A term discloses an entity if
+the two were seen together in at least MIN_CONTEXTS different contexts (the words
+beside the entity and beside the term, so that copies count once; or the term
+itself stood beside the entity in so many), if P(entity | term) over all
+documents is at least MIN_SHARE, and if knowing the term adds at least MIN_BITS
+bits, log2(P(entity | term) / P(entity)). Words of e-mail addresses do not count
+as words of a document. All whole
 words that are such terms are spans of kind `term`, in every document.
 `sanitise` replaces spans by their kind in brackets and removes terms.
 
@@ -32,7 +35,9 @@ PATTERNS = {
 }
 TERM = "term"
 #: A term is a word of letters and digits that begins with a letter.
-_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}"
+_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
+#: Contexts are made of longer words.
+_LONG_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}"
 NEAR_WORDS, NEAR_CHARS = 3, 64
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 8.0
 #: Candidate terms are broadcast up to this many (about 40 bytes each); beyond that they are joined by a shuffle.
@@ -116,42 +121,76 @@ def _contexts(spanned: DataFrame) -> DataFrame:
     one = spanned.filter(F.size("_spans") > 0).select("_id", "_text", F.explode("_spans").alias("s"))
     cut_before = F.when(F.length("s.before") >= NEAR_CHARS, F.regexp_replace("s.before", r"^\S*+", "")).otherwise(F.col("s.before"))
     cut_after = F.when(F.length("s.after") >= NEAR_CHARS, F.regexp_replace("s.after", r"(?<!\S)\S++$", "")).otherwise(F.col("s.after"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_LONG_WORD), F.lit(0))
     before, after = words(cut_before), words(cut_after)
     near = F.concat(F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), F.slice(after, F.lit(1), F.lit(NEAR_WORDS)))
     entity = F.xxhash64(F.col("s.kind"), F.lower(F.col("s.value")))
     return one.select("_id", "_text", entity.alias("_entity"), near.alias("_near")).withColumn("_context", F.xxhash64("_near"))
 
 
-def disclosing_terms(spanned: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """_id, _text, _terms: which disclosing terms each document has; None if no term is one. docs: texts(), spanned: their stored spans."""
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
+def _own_words(text: Column) -> Column:
+    """The words of a text outside of its e-mail addresses, the only base kind with letters."""
+    return _words(F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, F.lit(PATTERNS["email"]), F.lit(" "))).otherwise(text))
+
+
+def _entity_documents(spanned: DataFrame, contexts: DataFrame, proposed: DataFrame) -> DataFrame:
+    """_id, _text, _entity, _copies (of the row), _beside (a hash of the entity's contexts there), _n_entity, of entities that may have terms."""
+    copies = spanned.filter(F.size("_spans") > 0).groupBy("_id", "_text").agg(F.count("*").alias("_copies"))
+    each = contexts.groupBy("_id", "_text", "_entity").agg(F.xxhash64(F.sort_array(F.collect_set("_context"))).alias("_beside")).join(copies, ["_id", "_text"])
+    n_entity = each.groupBy("_entity").agg(F.count("*").alias("_n_docs"), F.sum("_copies").alias("_n_entity"))
+    kept = n_entity.join(proposed.select("_entity").distinct().withColumn("_near", F.lit(True)), "_entity", "left").filter((F.col("_n_docs") >= MIN_CONTEXTS) | F.col("_near"))
+    return each.join(kept.select("_entity", "_n_entity"), "_entity")
+
+
+def _joint_counts(keyed: DataFrame, spanned: DataFrame) -> DataFrame:
+    """_entity, _term, _n_both, _n_term, _n_entity: documents with both, anywhere in their texts, and with either, of the pairs with enough contexts and share."""
     contexts = stored(_contexts(spanned), "contexts")
-    seen = contexts.select("_id", "_text", "_entity", "_context", F.explode(F.array_distinct("_near")).alias("_term"))
-    n_contexts = seen.select("_entity", "_context", "_term").distinct().groupBy("_entity", "_term").agg(F.count("*").alias("_contexts")).filter(F.col("_contexts") >= MIN_CONTEXTS)
-    n_both = seen.select("_id", "_text", "_entity", "_term").distinct().groupBy("_entity", "_term").agg(F.count("*").alias("_n_both"))
-    # a term is in at least as many documents as it is beside entities in, so most common words are out before the corpus is searched
-    n_near = seen.select("_id", "_text", "_term").distinct().groupBy("_term").agg(F.count("*").alias("_n_near"))
-    candidates = n_both.join(n_contexts, ["_entity", "_term"]).join(n_near, "_term").filter(F.col("_n_both") >= MIN_SHARE * F.col("_n_near"))
-    candidates = stored(candidates.select("_entity", "_term", "_n_both"), "candidate_terms")
-    n_candidates = candidates.count()
-    if not n_candidates:
-        return None
-    wanted = candidates.select("_term").distinct()
-    wanted = F.broadcast(wanted) if n_candidates <= BROADCAST_TERMS else wanted
-    all_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))
-    having = docs.select(id_key().alias("_id"), text_key().alias("_text"), F.explode(all_words).alias("_term")).join(wanted, "_term", "left_semi")
-    having = stored(having, "term_documents")
-    n_term = having.groupBy("_term").agg(F.count("*").alias("_n_term"))
-    entity_docs = contexts.select("_id", "_text", "_entity").distinct()
-    n_entity = entity_docs.groupBy("_entity").agg(F.count("*").alias("_n_entity"))
+    near = contexts.select("_entity", "_context", F.explode("_near").alias("_term")).distinct()
+    proposed = near.groupBy("_entity", "_term").agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_CONTEXTS).select("_entity", "_term")
+    proposed = stored(proposed, "proposed")
+    entities = stored(_entity_documents(spanned, contexts, proposed), "entity_documents")
+    held = entities.groupBy("_id", "_text").agg(F.max("_copies").alias("_copies"))
+
+    # words of documents with entities, with the words beside them
+    some = keyed.filter(F.size("_spans") > 0).select("_id", "_text", _own_words(F.col("text")).alias("_w")).dropDuplicates(["_id", "_text"])
+    zipped = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.array(F.lit("")), F.col("_w")).alias("p"), F.slice("_w", F.lit(2), F.size("_w")).alias("n"))
+    inside = some.select("_id", "_text", F.explode(zipped).alias("_z")).filter("_z.w is not null")
+    inside = inside.groupBy("_id", "_text", F.col("_z.w").alias("_term")).agg(F.min(F.xxhash64("_z.p", "_z.n")).alias("_around"))
+    inside = stored(inside.join(held, ["_id", "_text"]), "entity_words")
+
+    # a term is in at least as many documents as it shares with one entity, so most common words are out before pairs are made
+    n_inside = inside.groupBy("_term").agg(F.count("*").alias("_n_docs"), F.sum("_copies").alias("_n_inside"))
+    n_term = keyed.select(F.explode(F.array_distinct(_own_words(F.col("text")))).alias("_term")).groupBy("_term").agg(F.count("*").alias("_n_term"))
+    wanted = n_inside.join(n_term, "_term").filter(F.col("_n_inside") >= MIN_SHARE * F.col("_n_term"))
+    wanted = wanted.join(proposed.select("_term").distinct().withColumn("_near", F.lit(True)), "_term", "left").filter((F.col("_n_docs") >= MIN_CONTEXTS) | F.col("_near"))
+    wanted = stored(wanted.select("_term", "_n_term"), "candidate_terms")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+
+    pairs = inside.drop("_copies").join(wanted, "_term").join(entities, ["_id", "_text"]).filter(F.col("_n_entity") >= MIN_SHARE * F.col("_n_term"))
+    # by context first, so that no pair's documents meet in one task
+    pairs = pairs.groupBy("_entity", "_term", "_n_term", "_n_entity", F.xxhash64("_beside", "_around").alias("_context")).agg(F.sum("_copies").alias("_n"))
+    pairs = pairs.groupBy("_entity", "_term", "_n_term", "_n_entity").agg(F.sum("_n").alias("_n_both"), F.count("*").alias("_contexts")).filter(F.col("_n_both") >= MIN_SHARE * F.col("_n_term"))
+    pairs = pairs.join(proposed.withColumn("_near", F.lit(True)), ["_entity", "_term"], "left")
+    return pairs.filter((F.col("_contexts") >= MIN_CONTEXTS) | F.col("_near")).drop("_contexts", "_near")
+
+
+def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame | None:
+    """_id, _text, _terms: which disclosing terms each document has; None if no term is one. keyed: documents with text, _id, _text and _spans, spanned: the same, stored."""
     total = spanned.agg(F.count("*").alias("_n"))
     share = F.col("_n_both") / F.col("_n_term")
     bits = F.log2(share * F.col("_n") / F.col("_n_entity"))
-    chosen = candidates.join(n_term, "_term").join(n_entity, "_entity").crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & (bits >= MIN_BITS))  # one row
+    chosen = _joint_counts(keyed, spanned).crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & (bits >= MIN_BITS))  # one row
     chosen = stored(chosen.select("_term").distinct(), "terms")
-    if chosen.isEmpty():
+    n_chosen = chosen.count()
+    if not n_chosen:
         return None
-    having = having.join(chosen, "_term", "left_semi").groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms"))  # of one document
+    chosen = F.broadcast(chosen) if n_chosen <= BROADCAST_TERMS else chosen
+    having = keyed.select("_id", "_text", F.explode(F.array_distinct(_words(F.col("text")))).alias("_term")).join(chosen, "_term", "left_semi")
+    having = having.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms"))  # of one document
     return stored(having, "disclosing")
 
 
@@ -169,7 +208,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     plain = texts(docs)
     keyed = with_base_spans(plain.withColumn("_id", id_key()).withColumn("_text", text_key()))
     spanned = stored(keyed.drop("text"), "spans")
-    terms = disclosing_terms(spanned, plain)
+    terms = disclosing_terms(spanned, keyed)
     if terms is None:
         return spanned.select("doc_id", "_spans")
     return _with_terms(keyed, terms).select("doc_id", "_spans")
@@ -181,7 +220,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = with_base_spans(held.withColumn("_id", id_key()).withColumn("_text", text_key()))
     spanned = stored(keyed.select("_id", "_text", "_spans"), "spans")
-    terms = disclosing_terms(spanned, held)
+    terms = disclosing_terms(spanned, keyed)
     found = keyed if terms is None else _with_terms(keyed, terms)
     # overlapping spans become one, under the kind of the first
     span = "struct<start: bigint, kind: int, end: bigint>"

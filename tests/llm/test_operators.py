@@ -233,6 +233,17 @@ def test_disclosing_terms_and_sanitising(spark):
     assert "Zorbulon" not in clean[100] and "x@y.org" not in clean[1] and "[email]" in clean[1] and clean[101] == dict((a, b) for a, b, _ in rest)[101]
 
 
+def test_terms_are_counted_over_whole_texts(spark):
+    fill = lambda i, n: " ".join(f"alpha{i}x{k}" for k in range(n))
+    # Zorbulon beside the entity in 4 of 10 documents, Quib always 6 words off, the word Q7 short
+    told = [(i, f"{fill(i, 5)} {'Zorbulon' if i < 4 else ''} x@y.org {fill(i + 50, 6)} Quib {fill(i + 100, 6)} Q7 {fill(i + 150, 4)} {'Zorbulon' if i >= 4 else ''}") for i in range(10)]
+    copies = [(50 + i, f"see c@d.org about the Wumpus {fill(900, 6)}") for i in range(5)]
+    rest = [(100 + i, f"words without anything {fill(i + 200, 3)}") for i in range(4000)] + [(9000, "where Quib and Zorbulon and Q7 are alone, beside the org of y")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(spark.createDataFrame(told + copies + rest, "doc_id long, text string"))).collect()}
+    assert got[9000] == "term:6:10,term:15:23,term:28:30" and all(got[i].count("term:") == 3 for i in range(10))
+    assert not any("term:" in got[50 + i] for i in range(5)) and not got[100]
+
+
 def test_mixing(docs, rows, none):
     sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("_size"))
     from brambling.llm.common import stored

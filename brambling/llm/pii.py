@@ -7,9 +7,12 @@ and the whole corpus says how much they disclose. A term discloses an entity if
 the two were seen together in at least MIN_CONTEXTS different contexts (the words
 beside the entity and beside the term, so that copies count once; or the term
 itself stood beside the entity in so many), if P(entity | term) over all
-documents is at least MIN_SHARE, and if knowing the term adds at least MIN_BITS
-bits, log2(P(entity | term) / P(entity)). Words of e-mail addresses do not count
-as words of a document. All whole
+documents is at least MIN_SHARE, if knowing the term adds at least MIN_GAIN of
+the bits that can be added, log2(P(entity | term) / P(entity)) of
+log2(1 / P(entity)), and if that is no chance: the term's documents together
+give at least MIN_BITS bits against P(entity), so that as many would hold the
+entity by chance with a probability of 2 ** -MIN_BITS at most. Words of e-mail
+addresses do not count as words of a document. All whole
 words that are such terms are spans of kind `term`, in every document.
 `sanitise` replaces spans by their kind in brackets and removes terms.
 
@@ -39,7 +42,7 @@ _WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
 #: Contexts are made of longer words.
 _LONG_WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}"
 NEAR_WORDS, NEAR_CHARS = 3, 64
-MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 8.0
+MIN_CONTEXTS, MIN_SHARE, MIN_GAIN, MIN_BITS = 3, 0.5, 0.5, 8.0
 #: Candidate terms are broadcast up to this many (about 40 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 _STRETCH = 512
@@ -181,9 +184,12 @@ def _joint_counts(keyed: DataFrame, spanned: DataFrame) -> DataFrame:
 def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame | None:
     """_id, _text, _terms: which disclosing terms each document has; None if no term is one. keyed: documents with text, _id, _text and _spans, spanned: the same, stored."""
     total = spanned.agg(F.count("*").alias("_n"))
-    share = F.col("_n_both") / F.col("_n_term")
-    bits = F.log2(share * F.col("_n") / F.col("_n_entity"))
-    chosen = _joint_counts(keyed, spanned).crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & (bits >= MIN_BITS))  # one row
+    share, base = F.col("_n_both") / F.col("_n_term"), F.col("_n_entity") / F.col("_n")
+    gain = F.log2(share / base)
+    without = F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - base))).otherwise(F.lit(0.0))
+    # an entity of all documents has no bits to give
+    told = F.when(base < 1, (gain >= MIN_GAIN * -F.log2(base)) & (F.col("_n_term") * (share * gain + without) >= MIN_BITS)).otherwise(F.lit(False))
+    chosen = _joint_counts(keyed, spanned).crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & told)  # one row
     chosen = stored(chosen.select("_term").distinct(), "terms")
     n_chosen = chosen.count()
     if not n_chosen:

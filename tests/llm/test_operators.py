@@ -244,6 +244,19 @@ def test_terms_are_counted_over_whole_texts(spark):
     assert not any("term:" in got[50 + i] for i in range(5)) and not got[100]
 
 
+@pytest.mark.parametrize("unrelated", [20, 2000])
+def test_terms_of_frequent_entities_and_of_small_tables(spark, unrelated):
+    fill = lambda i, n: " ".join(f"alpha{i}x{k}" for k in range(n))
+    # in a third of the smaller table; Zorbulon in 12 of its documents, Quib in 3, which may be chance there
+    hot = [(i, f"{fill(i, 3)} {'Zorbulon' if i < 12 else 'Quib' if i < 15 else ''} {fill(i + 1000, 2)} x@y.org {fill(i + 2000, 3)}") for i in range(30)]
+    few = [(100 + i, f"{fill(i + 3000, 3)} Wumpus c@d.org {fill(i + 4000, 3)}") for i in range(3)]
+    rest = [(1000 + i, f"{fill(i + 5000, 3)}") for i in range(unrelated + 37)] + [(9000, "Zorbulon"), (9001, "Wumpus")]
+    docs = spark.createDataFrame(hot + few + rest, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_pii(docs)).collect()}
+    assert got[9000] == "term:0:8" and got[9001] == "term:0:6" and all("term:" in got[i] for i in (*range(12), 100, 101, 102))
+    assert ("term:" in got[12]) == (unrelated > 1000) and not any("term:" in got[i] for i in range(15, 30))
+
+
 def test_mixing(docs, rows, none):
     sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("_size"))
     from brambling.llm.common import stored

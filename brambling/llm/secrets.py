@@ -49,10 +49,10 @@ BASE = (
 #: Kinds that the method adds: prefixes that issuers publish for their credentials.
 EXTRA = (
     Rule("private_key", "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
-    Rule("hub_token", "gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_token", "xox[abeoprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("hub_token", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", "xox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps_key", "AIza[A-Za-z0-9_-]{35}"),
-    Rule("payment_key", "[rs]k_live_[A-Za-z0-9]{16,255}"),
+    Rule("payment_key", "[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"[Bb]earer\x20[A-Za-z0-9._~+/=-]{20,}"),
 )

@@ -393,6 +393,13 @@ def test_secrets(spark, docs, rows, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_longer_than_255_characters(spark):
+    long = {"hub_token": "ghp_" + "Z" * 400, "chat_token": "xoxb-" + "Z" * 400, "payment_key": "sk_live_" + "Z" * 400}
+    docs = spark.createDataFrame(list(enumerate(long.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan_secrets(docs), ["assign", "access", "hex"]).collect()}
+    assert got == {i: f"{kind}:0:{len(text)}" for i, (kind, text) in enumerate(long.items())}
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{16,}") is True
     assert secrets.trigram_query("abcd") == ("and", (b"abc", b"bcd"))

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-import glob
-import os
 import re
-import zipfile
 from functools import cache
 
-import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: everything but these characters separates tokens.
 SEPARATORS = "[^a-z0-9áéíóúñü]+"
 
+# The Spanish stopwords, in their usual order; the forms of four verbs follow from stems and endings.
+_FUNCTION_WORDS = (
+    "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre "
+    "también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos qué unos yo "
+    "otro otras otra él tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros mi mis tú te ti tu tus ellas "
+    "nosotras vosostros vosostras os mío mía míos mías tuyo tuya tuyos tuyas suyo suya suyos suyas nuestro nuestra nuestros nuestras vuestro "
+    "vuestra vuestros vuestras esos esas"
+)
+_IRREGULAR = (
+    "estoy estás está estamos estáis están he has ha hemos habéis han soy eres es somos sois son "
+    "era eras éramos erais eran fui fuiste fue fuimos fuisteis fueron siente sentid tengo tienes tiene tenemos tenéis tienen"
+)
+_ENDINGS = (  # stems, endings
+    ("est", "é és emos éis én aba abas ábamos abais aban ando ado ada ados adas ad"),
+    ("hay se teng", "a as amos áis an"),
+    ("estar habr ser tendr", "é ás á emos éis án ía ías íamos íais ían"),
+    ("hab ten", "ía ías íamos íais ían iendo ido ida idos idas"),
+    ("estuv hub tuv", "e iste o imos isteis ieron iera ieras iéramos ierais ieran iese ieses iésemos ieseis iesen"),
+    ("fu", "era eras éramos erais eran ese eses ésemos eseis esen"),
+    ("sint", "iendo"),
+    ("sent", "ido ida idos idas"),
+    ("ten", "ed"),
+)
+
 
 @cache
 def spanish_stopwords() -> tuple[str, ...]:
-    """The Spanish list that Spark ships for its own stopword remover."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return tuple(sorted(set(z.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode().split())))
+    """The stopwords, sorted."""
+    forms = {stem + ending for stems, endings in _ENDINGS for stem in stems.split() for ending in endings.split()}
+    return tuple(sorted(forms | {*_FUNCTION_WORDS.split(), *_IRREGULAR.split()}))
 
 
 def normalise(text: Column) -> Column:
@@ -29,11 +48,23 @@ def normalise(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " "))
 
 
+def _parts(text: Column) -> Column:
+    return F.split(normalise(F.coalesce(text, F.lit(""))), " ")
+
+
+def is_token(word: Column, stopwords: tuple[str, ...] | None = None) -> Column:
+    """Whether a word is neither empty nor a stopword; a hash set decides."""
+    return ~word.isin("", *(spanish_stopwords() if stopwords is None else stopwords))
+
+
 def tokens(text: Column, stopwords: tuple[str, ...] | None = None) -> Column:
     """Array of tokens in their order, with repeats, without stopwords; of a null text, empty."""
-    stop = F.array(*(F.lit(w) for w in (spanish_stopwords() if stopwords is None else stopwords)))
-    parts = F.split(normalise(F.coalesce(text, F.lit(""))), " ")
-    return F.filter(parts, lambda w: (w != "") & ~F.array_contains(stop, w) if stopwords != () else w != "")
+    return F.filter(_parts(text), lambda w: is_token(w, stopwords))
+
+
+def token_rows(df: DataFrame, keys: list[str | Column], text: str = "text", stopwords: tuple[str, ...] | None = None) -> DataFrame:
+    """A row with the keys and `term` for each token; stopwords are dropped after the words are rows, in generated code."""
+    return df.select(*keys, F.explode(_parts(F.col(text))).alias("term")).filter(is_token(F.col("term"), stopwords))
 
 
 # The Spanish Snowball algorithm. Its vowels, suffixes and pronouns.

@@ -2,7 +2,12 @@
 
 A corpus has doc_id, text and, optionally, name. Weights are (1 + ln tf) * idf
 with idf = ln(rows of the corpus / documents of the term). Rows that share a
-doc_id count as one document whose frequencies add up.
+doc_id count as one document whose frequencies add up. Postings carry their
+document's norm, so that a search needs no join with the norms.
+
+Joins are not hinted: the dictionary is broadcast where its statistics show it to
+be small, and a term that a third of all documents have is split by the adaptive
+skew join where it is not.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.functions.analysis import stemmed, tokens
+from brambling.functions.analysis import stemmed, token_rows
 
 
 class TextIndex(NamedTuple):
@@ -32,8 +37,7 @@ def corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str
 
 def term_frequencies(docs: DataFrame, stem: bool = False, stopwords: tuple[str, ...] | None = None) -> DataFrame:
     """term, doc_id, tf. Words are counted before they are stemmed, and only distinct words are stemmed."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"), stopwords)).alias("term"))
-    counts = words.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    counts = token_rows(docs, ["doc_id"], stopwords=stopwords).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     if not stem:
         return counts
     stems = stemmed(counts.select("term").distinct())
@@ -54,44 +58,55 @@ def dictionary(frequencies: DataFrame, rows: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(rows)).select("term", "df", F.ln(F.col("n_build") / F.col("df")).alias("idf"))  # one row
 
 
-def postings(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
+def weights(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, doc_id, tf, w."""
     return frequencies.join(terms, "term").select("term", "doc_id", "tf", (log_tf(F.col("tf")) * F.col("idf")).alias("w"))
 
 
+def norms(weighted: DataFrame) -> DataFrame:
+    return weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
+def postings(weighted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """term, doc_id, tf, w and the document's norm."""
+    return weighted.join(lengths, "doc_id").select("term", "doc_id", "tf", "w", "norm")
+
+
 def nested(flat: DataFrame) -> DataFrame:
     """A row for each term with its whole list; for export, a frequent term's list is as long as the corpus."""
     return flat.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
 
 
-def norms(flat: DataFrame) -> DataFrame:
-    return flat.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-
 def stats(rows: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.crossJoin(lengths.agg(F.count("*").alias("n_query"))).crossJoin(terms.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings")))
 
 
-def build_index(docs: DataFrame, stem: bool = True, stopwords: tuple[str, ...] | None = None) -> TextIndex:
-    """All tables of an index; of rows that share a doc_id the last one is displayed, by `ord` if there is such a column."""
-    frequencies = term_frequencies(docs, stem, stopwords)
-    rows = n_build(docs)
+def from_frequencies(frequencies: DataFrame, rows: DataFrame, shown: DataFrame) -> TextIndex:
+    """All tables from term frequencies, the number of rows and the documents to display."""
     terms = dictionary(frequencies, rows)
-    flat = postings(frequencies, terms)
-    lengths = norms(flat)
-    return TextIndex(last_rows(docs), terms, flat, lengths, stats(rows, lengths, terms))
+    weighted = weights(frequencies, terms)
+    lengths = norms(weighted)
+    return TextIndex(shown, terms, postings(weighted, lengths), lengths, stats(rows, lengths, terms))
+
+
+def build_index(docs: DataFrame, stem: bool = True, stopwords: tuple[str, ...] | None = None) -> TextIndex:
+    """An index whose tables are derived when they are used; IndexStore.save_text writes one. Of rows that share a doc_id the last one is displayed, by `ord` if there is such a column."""
+    return from_frequencies(term_frequencies(docs, stem, stopwords), n_build(docs), last_rows(docs))
 
 
 def last_rows(docs: DataFrame) -> DataFrame:
-    order = F.col("ord") if "ord" in docs.columns else F.monotonically_increasing_id()
-    shown = docs.withColumn("_ord", order).groupBy("doc_id").agg(F.max_by(F.struct("text", "name"), "_ord").alias("_r"))
-    return shown.select("doc_id", "_r.text", "_r.name")
+    """doc_id, text, name of the last row of each id. Only ids are shuffled, unless some are repeated."""
+    shown = docs.select("doc_id", "text", "name", (F.col("ord") if "ord" in docs.columns else F.monotonically_increasing_id()).alias("_ord"))
+    if shown.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return shown.drop("_ord")
+    last = shown.select("doc_id", "_ord").groupBy("doc_id").agg(F.max("_ord").alias("_ord"))
+    return shown.join(last, ["doc_id", "_ord"], "left_semi").select("doc_id", "text", "name")
 
 
 def blocks_by_docs(docs: DataFrame, per_block: int = 100, stopwords: tuple[str, ...] | None = None) -> DataFrame:
     """block_id, term, doc_id, tf of blocks of so many ids."""
     block = F.floor(F.col("doc_id") / per_block).alias("block_id")
-    words = docs.select(block, "doc_id", F.explode(tokens(F.col("text"), stopwords)).alias("term"))
-    return words.groupBy("block_id", "term", "doc_id").agg(F.count("*").alias("tf"))
+    return token_rows(docs, [block, "doc_id"], stopwords=stopwords).groupBy("block_id", "term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:

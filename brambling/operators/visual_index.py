@@ -1,7 +1,8 @@
 """Bags of visual words: codebook, nearest words, histograms, weights, norms.
 
 Descriptors have image_id and vec (array of doubles). The codebook has word and
-center; it is one broadcast row, so assigning words needs no shuffle.
+center; it is broadcast in rows of at most STRETCH words, one after the other,
+so assigning words needs no shuffle, however many words there are.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 from brambling.functions.vectors import squared_distance
 
-#: Words of a codebook that is broadcast, at most.
-MAX_WORDS = 65_536
+#: Words of a codebook that are broadcast at once, at most about.
+STRETCH = 65_536
 
 
 class VisualIndex(NamedTuple):
+    """The tables of an index; postings carry their image's norm."""
+
+    codebook: DataFrame
     histograms: DataFrame
     idf: DataFrame
     postings: DataFrame
@@ -41,11 +45,16 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
-def assign_words(descriptors: DataFrame, codebook: DataFrame) -> DataFrame:
-    """descriptors with `word`, the nearest center's, the lower one of two."""
-    book = codebook.limit(MAX_WORDS).agg(F.sort_array(F.collect_list(F.struct("word", "center"))).alias("_book"))
-    near = F.array_min(F.transform("_book", lambda c: F.struct(squared_distance(F.col("vec"), c["center"]).alias("d"), c["word"].alias("word"))))
-    return descriptors.crossJoin(F.broadcast(book)).withColumn("word", near["word"]).drop("_book")  # one row
+def assign_words(descriptors: DataFrame, codebook: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """descriptors with `word`, the nearest center's, the lower one of two. A codebook of more than a stretch is compared stretch by stretch."""
+    n = -(-codebook.count() // stretch)
+    out = descriptors
+    for i in range(max(1, n)):
+        part = codebook if n <= 1 else codebook.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == i)
+        book = part.agg(F.sort_array(F.collect_list(F.struct("word", "center"))).alias("_book"))
+        near = F.array_min(F.transform("_book", lambda c: F.struct(squared_distance(F.col("vec"), c["center"]).alias("d"), c["word"].alias("word"))))
+        out = out.crossJoin(F.broadcast(book)).withColumn("_near", F.least("_near", near) if i else near).drop("_book")  # one row
+    return out.withColumn("word", F.col("_near")["word"]).drop("_near")
 
 
 def histograms(words: DataFrame) -> DataFrame:
@@ -63,22 +72,32 @@ def visual_idf(hist: DataFrame, codebook: DataFrame, images: DataFrame) -> DataF
     return all_words.crossJoin(F.broadcast(n)).select("word", "df", F.ln(F.col("_n") / (F.col("df") + 1)).alias("idf"))  # one row
 
 
-def visual_postings(hist: DataFrame, idf: DataFrame) -> DataFrame:
-    return hist.join(F.broadcast(idf), "word").select("word", "image_id", (F.col("tf") * F.col("idf")).alias("w"))  # a row for each word of the codebook
+def visual_weights(hist: DataFrame, idf: DataFrame) -> DataFrame:
+    return hist.join(idf, "word").select("word", "image_id", (F.col("tf") * F.col("idf")).alias("w"))
 
 
-def visual_norms(flat: DataFrame, images: DataFrame) -> DataFrame:
+def visual_norms(weighted: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, norm of all images, 0 where an image has no descriptors."""
-    own = flat.groupBy("image_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    own = weighted.groupBy("image_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return images.select("image_id").join(own, "image_id", "left").select("image_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
+def visual_postings(weighted: DataFrame, lengths: DataFrame) -> DataFrame:
+    """word, image_id, w and the image's norm."""
+    return weighted.join(lengths, "image_id").select("word", "image_id", "w", "norm")
+
+
+def from_histograms(hist: DataFrame, codebook: DataFrame, images: DataFrame) -> VisualIndex:
+    idf = visual_idf(hist, codebook, images)
+    weighted = visual_weights(hist, idf)
+    lengths = visual_norms(weighted, images)
+    return VisualIndex(codebook, hist, idf, visual_postings(weighted, lengths), lengths)
+
+
 def build_visual_index(descriptors: DataFrame, codebook: DataFrame, images: DataFrame | None = None) -> VisualIndex:
+    """An index whose tables are derived when they are used; IndexStore.save_visual writes one. images has image_id of all images, with descriptors or without."""
     images = descriptors.select("image_id").distinct() if images is None else images
-    hist = histograms(assign_words(descriptors, codebook))
-    idf = visual_idf(hist, codebook, images)
-    flat = visual_postings(hist, idf)
-    return VisualIndex(hist, idf, flat, visual_norms(flat, images))
+    return from_histograms(histograms(assign_words(descriptors, codebook)), codebook, images)
 
 
 def cluster_stats(words: DataFrame, codebook: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Text queries over the documents table, each with its SQL."""
+"""Text queries over the documents table, each with its SQL.
+
+Queries that search do so on a stored index, which the first of them in a
+session builds; queries that are named after a table of the index show that table
+of the same index.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,9 @@ from brambling.functions.analysis import spanish_stopwords, stem_steps, tokens
 from brambling.functions.snippets import snippet
 from brambling.operators import text_index as ti
 from brambling.operators import text_search as ts
+from brambling.plans.indexes import store, text_index
 
-QUERY, ABSENT, K = "the thing thnd The zzzz", "qqqqzzzz", 10
+QUERY, ABSENT, STEMMED, K = "the thing thnd The zzzz", "qqqqzzzz", "queso ciones osado adoras menteces", 10
 TERMS = ["the", "thing", "thnd", "zzzz"]
 PREFIXES = (50, 100, 200)
 
@@ -20,13 +26,17 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str, stem: bool = False) -> ti.TextIndex:
-    return ti.build_index(_docs(spark, d), stem=stem)
+    return text_index(spark, f"{d}/documents.parquet", lambda: _docs(spark, d), stem)
 
 
 def _vector(spark: SparkSession, index: ti.TextIndex, text: str = QUERY, stem: bool = False) -> DataFrame:
     return ts.query_vector(ts.one_query(spark, text, stem), index)
 
 
+def _scores(spark: SparkSession, index: ti.TextIndex) -> DataFrame:
+    return ts.scores(ts.one_vector(ts.analysed(spark, QUERY), index), index)
+
+
 def corpus_scan(spark, d):
     return _docs(spark, d)
 
@@ -39,6 +49,15 @@ def term_frequency(spark, d):
     return ti.term_frequencies(_docs(spark, d))
 
 
+def text_index_build(spark, d):
+    """Rows of each table of an index that is built and stored anew."""
+    name = "built"
+    store(spark).save_text(name, _docs(spark, d), stem=False)
+    rows = store(spark).sizes(name)
+    tables = ("dictionary", "postings", "norms")
+    return spark.createDataFrame([(t, rows[t][0]) for t in tables], "name string, n long")
+
+
 def document_frequency(spark, d):
     return _index(spark, d).dictionary.withColumn("idf", F.round("idf", 6))
 
@@ -94,12 +113,13 @@ def cosine_scores(spark, d):
 
 def text_search_topk(spark, d):
     index = _index(spark, d)
-    return ts.search(index, ts.one_query(spark, QUERY), K)
+    return ts.search(index, ts.analysed(spark, QUERY), K)
 
 
 def text_search_hits(spark, d):
     index = _index(spark, d)
-    return ts.with_snippets(ts.search(index, ts.one_query(spark, QUERY), K), index, TERMS)
+    words = ts.analysed(spark, QUERY)
+    return ts.with_snippets(ts.search(index, words, K), index, list(words))
 
 
 def snippet_fallback(spark, d):
@@ -108,7 +128,7 @@ def snippet_fallback(spark, d):
 
 def text_search_empty(spark, d):
     index = _index(spark, d)
-    return ts.search(index, ts.one_query(spark, ABSENT), K)
+    return ts.search(index, ts.analysed(spark, ABSENT), K)
 
 
 def text_search_batch(spark, d):
@@ -119,7 +139,7 @@ def text_search_batch(spark, d):
 
 def text_search_stemmed(spark, d):
     index = _index(spark, d, stem=True)
-    return ts.search(index, ts.one_query(spark, "queso ciones osado adoras menteces", stem=True), K)
+    return ts.search(index, ts.analysed(spark, STEMMED, stem=True), K)
 
 
 def prefix_sample(spark, d):
@@ -132,7 +152,7 @@ def prefix_sample(spark, d):
 def text_search_filtered(spark, d):
     """Beyond parity: the best documents of one language."""
     index = _index(spark, d)
-    scores = ts.cosine_scores(_vector(spark, index), index).select("doc_id", "score")
+    scores = _scores(spark, index).select("doc_id", "score")
     chosen = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'").select("doc_id")
     return ts.top_k(scores.join(chosen, "doc_id", "left_semi"), K)
 
@@ -140,16 +160,14 @@ def text_search_filtered(spark, d):
 def text_search_all_terms(spark, d):
     """Beyond parity: only documents that have every known query term."""
     index = _index(spark, d)
-    vector = _vector(spark, index)
-    full = index.postings.join(F.broadcast(vector), "term").groupBy("doc_id").agg(F.count("*").alias("_n")).crossJoin(F.broadcast(vector.agg(F.count("*").alias("_all")))).filter("_n = _all")
-    scores = ts.cosine_scores(vector, index).select("doc_id", "score")
-    return ts.top_k(scores.join(full.select("doc_id"), "doc_id", "left_semi"), K)
+    vector = ts.one_vector(ts.analysed(spark, QUERY), index)
+    return ts.top_k(ts.scores(vector, index).filter(F.col("n_terms") == len(vector)).select("doc_id", "score"), K)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_scan, token_counts, term_frequency, document_frequency, blocks_by_docs, block_merge_equals_direct, postings_weighted, postings_nested, document_norms, index_stats,
+        corpus_scan, token_counts, term_frequency, text_index_build, document_frequency, blocks_by_docs, block_merge_equals_direct, postings_weighted, postings_nested, document_norms, index_stats,
         dictionary_lookup, postings_batch, query_vector, partial_scores, cosine_scores, text_search_topk, text_search_hits, snippet_fallback, text_search_empty, text_search_batch,
         text_search_stemmed, prefix_sample, text_search_filtered, text_search_all_terms,
     )
@@ -204,7 +222,7 @@ def _stemmed_sql() -> str:
     for i, (name, sql) in enumerate(stem_steps("term")):
         chain.append(f"s{i} as (select *, {sql} as {name} from {last})")
         last = f"s{i}"
-    words = "queso ciones osado adoras menteces".split()
+    words = STEMMED.split()
     raw = "raw_tok as (" + _cut("documents", "doc_id") + ")"
     asked = "asked as (select unnest([" + _list(words) + "]) as term)"
     vocabulary = "vocabulary as (select distinct term from (select term from raw_tok union all select term from asked))"
@@ -231,6 +249,7 @@ scores as (select query_id, doc_id, round(least(1.0, greatest(0.0, case when nor
         "corpus_scan": "select doc_id, text, source as name from documents",
         "token_counts": f"select d.doc_id, count(t.term)::bigint as n_tokens from documents d left join ({_cut('documents', 'doc_id')}) t on d.doc_id = t.doc_id group by 1",
         "term_frequency": base + "select term, doc_id, tf from tf",
+        "text_index_build": base + "select 'dictionary' as name, count(*)::bigint as n from dict union all select 'postings', count(*)::bigint from post union all select 'norms', count(*)::bigint from norms",
         "document_frequency": base + "select term, df, round(idf, 6) as idf from dict",
         "blocks_by_docs": block + "select block_id, count(distinct term)::bigint as n_terms, count(*)::bigint as n_postings from b group by 1",
         "block_merge_equals_direct": base + "select term, count(*)::bigint as df, sum(tf)::bigint as cf from tf group by 1",

@@ -12,27 +12,32 @@ from pyspark.sql import functions as F
 from brambling.functions.vectors import doubles
 from brambling.operators import visual_index as vi
 from brambling.operators import visual_search as vs
+from brambling.plans.indexes import store, visual_index
 
-WORDS, QUERY_IMAGE, K = 16, 3, 8
+VECTORS, WORDS, QUERY_IMAGE, K = 10, 16, 3, 8
+#: Sizes of the benchmark's series; the table's own size is the last one.
 SIZES = (10, 25, 50)
 
 
 def _descriptors(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / 10).alias("image_id"), doubles(F.col("embedding")).alias("vec"))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.floor(F.col("vec_id") / VECTORS).alias("image_id"), doubles(F.col("embedding")).alias("vec"))
 
 
 def _codebook(descriptors: DataFrame) -> DataFrame:
     return descriptors.filter(F.col("vec_id") < WORDS).select(F.col("vec_id").alias("word"), F.col("vec").alias("center"))
 
 
-def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, vi.VisualIndex]:
-    own = _descriptors(spark, d)
-    book = _codebook(own)
-    return own, book, vi.build_visual_index(own, book)
+def _index(spark: SparkSession, d: str) -> vi.VisualIndex:
+    def build():
+        own = _descriptors(spark, d)
+        return own, _codebook(own)
+
+    return visual_index(spark, f"{d}/embeddings.parquet", build)
 
 
-def _vector(own: DataFrame, book: DataFrame, index: vi.VisualIndex) -> DataFrame:
-    return vs.query_vector(own.filter(F.col("image_id") == QUERY_IMAGE), book, index.idf)
+def _vector(spark: SparkSession, d: str, index: vi.VisualIndex) -> dict[int, float]:
+    first = QUERY_IMAGE * VECTORS
+    return vs.one_vector(_descriptors(spark, d).filter(F.col("vec_id").between(first, first + VECTORS - 1)), index)
 
 
 def visual_words(spark, d):
@@ -40,34 +45,44 @@ def visual_words(spark, d):
     return vi.assign_words(own, _codebook(own)).select("vec_id", "word")
 
 
+def visual_index_build(spark, d):
+    """Rows of each table of an index that is built and stored anew."""
+    own = _descriptors(spark, d)
+    store(spark).save_visual("built", own, _codebook(own))
+    rows = store(spark).sizes("built", "visual")
+    tables = ("codebook", "histograms", "idf", "postings", "norms")
+    return spark.createDataFrame([(t, rows[t][0]) for t in tables], "name string, n long")
+
+
 def visual_histogram(spark, d):
-    return _parts(spark, d)[2].histograms.withColumn("tf", F.round("tf", 6))
+    return _index(spark, d).histograms.withColumn("tf", F.round("tf", 6))
 
 
 def visual_idf(spark, d):
-    return _parts(spark, d)[2].idf.withColumn("idf", F.round("idf", 6))
+    return _index(spark, d).idf.withColumn("idf", F.round("idf", 6))
 
 
 def visual_postings(spark, d):
-    return _parts(spark, d)[2].postings.withColumn("w", F.round("w", 6))
+    return _index(spark, d).postings.select("word", "image_id", F.round("w", 6).alias("w"))
 
 
 def visual_norms(spark, d):
-    return _parts(spark, d)[2].norms.withColumn("norm", F.round("norm", 6))
+    return _index(spark, d).norms.withColumn("norm", F.round("norm", 6))
 
 
 def visual_query_vector(spark, d):
-    return _vector(*_parts(spark, d)).withColumn("wq", F.round("wq", 6))
+    own = _descriptors(spark, d).filter(F.col("image_id") == QUERY_IMAGE)
+    return vs.query_vector(own, _index(spark, d)).withColumn("wq", F.round("wq", 6))
 
 
 def visual_search_sequential(spark, d):
-    own, book, index = _parts(spark, d)
-    return vs.top_k(vs.sequential_scores(_vector(own, book, index), index), K)
+    index = _index(spark, d)
+    return vs.top_k(vs.sequential_scores(_vector(spark, d, index), index), K)
 
 
 def visual_search_inverted(spark, d):
-    own, book, index = _parts(spark, d)
-    return vs.top_k(vs.inverted_scores(_vector(own, book, index), index), K)
+    index = _index(spark, d)
+    return vs.top_k(vs.inverted_scores(_vector(spark, d, index), index), K)
 
 
 def visual_search_hits(spark, d):
@@ -76,8 +91,8 @@ def visual_search_hits(spark, d):
 
 
 def mode_agreement(spark, d):
-    own, book, index = _parts(spark, d)
-    vector = _vector(own, book, index)
+    index = _index(spark, d)
+    vector = _vector(spark, d, index)
     one = vs.sequential_scores(vector, index).withColumnRenamed("score", "seq_score")
     two = vs.inverted_scores(vector, index).withColumnRenamed("score", "inv_score")
     return one.join(two, "image_id", "left").select("image_id", "seq_score", F.coalesce("inv_score", F.lit(0.0)).alias("inv_score"))
@@ -85,15 +100,16 @@ def mode_agreement(spark, d):
 
 def inner_product_topk(spark, d):
     own = _descriptors(spark, d)
-    query = own.filter(F.col("vec_id") == QUERY_IMAGE).select(F.col("vec").alias("q"))
+    query = own.filter(F.col("vec_id") == QUERY_IMAGE).select(F.col("vec").alias("q"))  # one row
     return vs.top_k(vs.inner_products(own, query), K, key="vec_id", score="ip")
 
 
 def _bench(spark, d, scores):
-    own, book, index = _parts(spark, d)
-    vector = _vector(own, book, index)
+    index = _index(spark, d)
+    vector = _vector(spark, d, index)
     out = None
-    for n in SIZES:
+    whole = index.norms.agg(F.max("image_id")).collect()[0][0] + 1  # one row
+    for n in (*SIZES, whole):
         best = vs.top_k(scores(vector, vs.mini_index(index, n)), K)
         ranked = best.select(F.lit(n).cast("long").alias("n"), F.row_number().over(Window.orderBy(F.desc("score"), "image_id")).cast("long").alias("rank"), "score")  # K rows
         out = ranked if out is None else out.union(ranked)
@@ -126,7 +142,7 @@ def cluster_stats(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        visual_words, visual_histogram, visual_idf, visual_postings, visual_norms, visual_query_vector, visual_search_sequential, visual_search_inverted, visual_search_hits,
+        visual_words, visual_index_build, visual_histogram, visual_idf, visual_postings, visual_norms, visual_query_vector, visual_search_sequential, visual_search_inverted, visual_search_hits,
         mode_agreement, inner_product_topk, bench_sequential_topk, bench_inverted_topk, codebook_sample, codebook_kmeans, cluster_stats,
     )
 }
@@ -149,7 +165,8 @@ inv as (select image_id, dot / (norm * qnorm) as exact, round(dot / (norm * qnor
 
 
 def _bench_sql(table: str) -> str:
-    parts = [f"select {n}::bigint as n, rank, score from (select row_number() over (order by score desc, image_id) as rank, score from {table} where image_id < {n}) where rank <= {K}" for n in SIZES]
+    sizes = [*(f"{n}::bigint" for n in SIZES), "(select max(image_id) + 1 from images)"]
+    parts = [f"select {n} as n, rank, score from (select row_number() over (order by score desc, image_id) as rank, score from {table} where image_id < {n}) where rank <= {K}" for n in sizes]
     return _BASE + " union all ".join(parts)
 
 
@@ -158,6 +175,8 @@ def sql() -> dict[str, str]:
     found = f"select image_id, score from inv where exact > {vs.LEAST_SCORE} {best}"
     return {
         "visual_words": _BASE + "select vec_id, word from words",
+        "visual_index_build": _BASE
+        + " union all ".join(f"select '{name}' as name, count(*)::bigint as n from {table}" for name, table in (("codebook", "book"), ("histograms", "hist"), ("idf", "idf"), ("postings", "post"), ("norms", "norms"))),
         "visual_histogram": _BASE + "select image_id, word, round(tf, 6) as tf from hist",
         "visual_idf": _BASE + "select word, df, round(idf, 6) as idf from idf",
         "visual_postings": _BASE + "select word, image_id, round(w, 6) as w from post",
@@ -166,8 +185,8 @@ def sql() -> dict[str, str]:
         "visual_search_sequential": _BASE + f"select image_id, score from seq {best}",
         "visual_search_inverted": _BASE + found,
         "visual_search_hits": _BASE
-        + f", hits as ({found}) select image_id::varchar as id, score, coalesce(p_name, 'Sin título') as title, coalesce(p_brand, '') as gender, coalesce(p_size::varchar, '') as year, "
-        "concat('http://127.0.0.1:8000/static/', image_id) as url from hits left join part on p_partkey = image_id",
+        + f", hits as ({found}) select image_id::varchar as id, score, coalesce(p_name, '{vs.NO_TITLE}') as title, coalesce(p_brand, '') as gender, coalesce(p_size::varchar, '') as year, "
+        f"concat('{vs.BASE_URL}', image_id) as url from hits left join part on p_partkey = image_id",
         "mode_agreement": _BASE + f"select seq.image_id, seq.score as seq_score, coalesce(case when exact > {vs.LEAST_SCORE} then inv.score end, 0.0) as inv_score from seq left join inv on seq.image_id = inv.image_id",
         "inner_product_topk": f"with e as (select vec_id, embedding::double[] as vec from embeddings) select vec_id, round(list_inner_product(vec, (select vec from e where vec_id = {QUERY_IMAGE})), 6) as ip from e order by ip desc, vec_id limit {K}",
         "bench_sequential_topk": _bench_sql("seq"),

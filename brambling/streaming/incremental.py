@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from brambling.operators.text_index import TextIndex, dictionary, last_rows, norms, postings, stats, term_frequencies
+from brambling.operators.text_index import TextIndex, from_frequencies, last_rows, n_build, term_frequencies
 
 
 def append_documents(stream: DataFrame, folder: str, checkpoint: str, stem: bool = True) -> StreamingQuery:
@@ -22,9 +22,5 @@ def append_documents(stream: DataFrame, folder: str, checkpoint: str, stem: bool
 def load_appended(spark, folder: str) -> TextIndex:
     docs = spark.read.parquet(f"{folder}/documents")
     frequencies = spark.read.parquet(f"{folder}/counts").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
-    rows = docs.agg(F.count("*").alias("n_build"))
-    terms = dictionary(frequencies, rows)
-    flat = postings(frequencies, terms)
-    lengths = norms(flat)
     shown = last_rows(docs.select("doc_id", "text", "name", F.col("batch").alias("ord")))
-    return TextIndex(shown, terms, flat, lengths, stats(rows, lengths, terms))
+    return from_frequencies(frequencies, n_build(docs), shown)

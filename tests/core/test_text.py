@@ -9,6 +9,7 @@ from brambling.functions.analysis import spanish_stopwords, stemmed, tokens
 from brambling.functions.snippets import snippet
 from brambling.operators import text_index as ti
 from brambling.operators import text_search as ts
+from brambling.plans import registry
 from brambling.service import Engine
 from brambling.sources.tables import IndexStore, read_corpus_csv
 
@@ -45,11 +46,61 @@ def test_weights_norms_and_scores_by_hand(spark):
     assert w["perro", 2] == pytest.approx(math.log(4 / 3))
     norms = {r["doc_id"]: r["norm"] for r in index.norms.collect()}
     assert norms[2] == pytest.approx(math.log(4 / 3))
+    assert {r["doc_id"]: r["norm"] for r in index.postings.select("doc_id", "norm").distinct().collect()} == norms
     # query weights use the three documents with a term: perro is in all of them, so it weighs nothing, yet its documents are candidates
     vector = ts.query_vector(ts.one_query(spark, "perro"), index)
     assert [(r["term"], r["wq"]) for r in vector.collect()] == [("perro", 0.0)]
     found = ts.top_k(ts.cosine_scores(vector, index).select("doc_id", "score"), 10).collect()
     assert [(r["doc_id"], r["score"]) for r in found] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+    assert [tuple(r) for r in ts.search(index, ts.analysed(spark, "perro"), 10).collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+    assert ts.analysed(spark, "Perro de gato, perro") == {"perro": 2, "gato": 1} and ts.analysed(spark, "de la") == {}
+    assert ts.search(index, {}, 10).count() == ts.search(index, {"zzz": 1}, 10).count() == 0
+
+
+def test_stopwords_are_those_that_spark_ships():
+    import glob
+    import zipfile
+
+    import pyspark
+
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if not jars:
+        pytest.skip("no jar beside the package")
+    with zipfile.ZipFile(jars[0]) as z:
+        assert set(spanish_stopwords()) == set(z.read("org/apache/spark/ml/feature/stopwords/spanish.txt").decode().split())
+
+
+def test_queries_and_sql_load_without_jars_or_optional_modules(tmp_path):
+    """In a process of its own, without a Spark folder, and with the optional subpackage's dependencies missing."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = """
+import sys, pyspark
+pyspark.__file__ = sys.argv[2] + "/pyspark/__init__.py"
+sys.path.insert(0, sys.argv[1])
+if sys.argv[3] == "1":
+    sys.modules["re._parser"] = sys.modules["brambling.llm"] = sys.modules["corpus_pipeline"] = None
+import __spark_entry__ as e
+print(len(e.queries()), len(e.oracle_sql()))
+"""
+    for missing in "01":
+        out = subprocess.run([sys.executable, "-c", code, root, str(tmp_path), missing], capture_output=True, text=True, env={**os.environ, "SPARK_HOME": str(tmp_path)}, check=True)
+        n, n_sql = map(int, out.stdout.split()[-2:])
+        assert n >= n_sql >= 40
+
+
+def test_queries_of_any_length(spark):
+    """Beyond 10,000 words, as one query and as one of many."""
+    docs = _corpus(spark, [(1, "gato", "a"), (2, "perro", "b"), (3, "pez", "c")])
+    index = ti.build_index(docs, stem=False)
+    text = " ".join(f"w{i}" for i in range(12_000)) + " gato"
+    assert [tuple(r) for r in ts.search(index, ts.analysed(spark, text)).collect()] == [(1, 1.0)]
+    many = ts.query_words(spark.createDataFrame([(7, text), (8, "pez pez")], "query_id long, text string"))
+    assert many.filter("query_id = 7").count() == 12_001
+    found = ts.top_k_each(ts.cosine_scores(ts.query_vector(many, index), index), 5).collect()
+    assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in found) == [(7, 1, 1.0), (8, 3, 1.0)]
 
 
 def test_repeated_ids_add_up_and_show_the_last_row(spark):
@@ -59,6 +110,56 @@ def test_repeated_ids_add_up_and_show_the_last_row(spark):
     assert {r["doc_id"]: r["name"] for r in index.documents.collect()} == {1: "new", 2: "x"}
 
 
+def test_csv_edges(spark, tmp_path):
+    """Quoted commas and line feeds, places from the end, a null text, and of a repeated id the last row of the file."""
+    path = tmp_path / "odd.csv"
+    path.write_text('id,lyrics,other\n1,"a, b\nc",x\n2,,y\n1,"last ""one""",z\n', encoding="utf-8")
+    docs = read_corpus_csv(spark, str(path), -3, -2)
+    assert [(r["doc_id"], r["text"], r["name"]) for r in docs.collect()] == [("1", "a, b\nc", None), ("2", None, None), ("1", 'last "one"', None)]
+    assert {r["doc_id"]: r["text"] for r in ti.last_rows(docs).collect()} == {"1": 'last "one"', "2": None}
+    from brambling.sources.tables import write_prefixes
+
+    write_prefixes(docs.drop("ord").filter("text is not null"), "text", [1, 2], str(tmp_path / "out"))
+    assert [spark.read.csv(f"{tmp_path}/out/prefix_{n}", header=True, multiLine=True).count() for n in (1, 2)] == [1, 2]
+
+
+def test_block_plan():
+    assert ti.plan_blocks(18_000, 512) == (8738, 3) and ti.plan_blocks(0)[1] == 1
+
+
+def test_store_publishes_versions(spark, tmp_path):
+    from brambling.service import build_with_statistics, index_sizes
+
+    store = IndexStore(spark, str(tmp_path))
+    first = store.save_text("a", _corpus(spark, [(1, "gato perro", "x"), (2, "perro", "y")]), stem=False)
+    store.save_text("a", _corpus(spark, [(1, "gato", "x")]), stem=False)
+    assert first.postings.count() == 3 and store.load("a").postings.count() == 1
+    store.save_text("a", _corpus(spark, []), stem=False)
+    assert len(store._versions("a", "text")) == 2 and store.load("a").stats.collect()[0]["n_build"] == 0
+    assert not store.exists("b") and not store.exists("a", "visual")
+    with pytest.raises(FileNotFoundError):
+        store.load("b")
+    told = build_with_statistics(store, "a", _corpus(spark, [(1, "gato perro", "x"), (2, "perro", "y")]), stem=False)
+    assert told["rows"] == index_sizes(store, "a") == {"documents": 2, "dictionary": 2, "postings": 3, "norms": 2, "stats": 1}
+    assert told["seconds"] > 0 and told["throughput"] > 0 and told["megabytes"]["postings"] > 0
+    assert store.dictionary_lookup("a", ["perro", "zzz"]).count() == 1 and store.postings_batch("a", ["perro"]).count() == 2
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from brambling.sources.scratch import has_shared_dir, shared_dir
+
+    def fake(master, folder):
+        conf = SimpleNamespace(get=lambda *a: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master=master, applicationId="app"))
+
+    assert shared_dir(fake("spark://a:7077", "hdfs://b/c/")) == "hdfs://b/c" and not has_shared_dir(fake("yarn", None))
+    assert shared_dir(fake("local[2]", None)).startswith("file:///")
+    with pytest.raises(RuntimeError):
+        shared_dir(fake("yarn", None))
+
+
 def test_snippet_window(spark):
     words = [f"w{i}" for i in range(200)]
     df = spark.createDataFrame([(" ".join(words), ["w100"]), ("Uno DOS tres", ["dos"]), ("", ["x"]), (" ".join(words), ["zz"]), (" ".join(words), ["w3"])], "text string, terms array<string>")
@@ -114,10 +215,8 @@ def _views(folder):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["token_counts", "document_frequency", "text_search_hits", "text_search_batch", "visual_search_hits", "mode_agreement", "bench_inverted_topk", "cluster_stats"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
-    from brambling.plans import registry
-
     p = registry.queries()[name](spark, SMALL).toPandas()
     q = _views(SMALL).execute(registry.oracle_sql()[name]).df()
     c = sorted(p.columns)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brambling.sources.scratch import shared_dir
+
 #: Stands for a null doc_id where ids are compared: it sorts after every other one.
 LAST_ID = (1 << 63) - 1
 #: Tables of up to this many short rows (an id or two, a number) are broadcast after they have been counted; larger ones are joined by a shuffle.
@@ -36,17 +38,6 @@ def id_key() -> Column:
     return F.coalesce(F.col("doc_id"), F.lit(LAST_ID))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one where it names none, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='brambling-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -59,7 +50,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared scratch folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/brambling/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/brambling/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -256,16 +256,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, without near-duplicates: of each class the document of the smallest id stays, of repeated rows one."""
-    columns = docs.columns
     classified = stored(_classified(docs).select("_id", "_text", "_class"), "classes")
     first = classified.groupBy("_class").agg(F.min(F.struct("_id", "_text")).alias("_first"))
     gone = classified.join(first, "_class").filter(F.struct("_id", "_text") != F.col("_first")).select("_id", "_text").distinct()
     gone = stored(gone, "gone")
-    held = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn("_text", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    keys = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text")
+    held = docs.select(F.struct("*").alias("_doc"), *keys)
     kept = held.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["_id", "_text"], "left_anti")
     if not classified.groupBy("_id", "_text").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["_id", "_text"])
-    return kept.select(*columns)
+    return kept.select("_doc.*")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

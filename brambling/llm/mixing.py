@@ -149,10 +149,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each time that a document is taken whole, and one with its first words for the rest."""
     from .common import BROADCAST_ROWS
 
-    columns = docs.columns
-    held = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_row", F.monotonically_increasing_id())
+    held = docs.select(F.struct("*").alias("_doc"), n_words(F.col("text")).alias("_size"), F.monotonically_increasing_id().alias("_row"))
     held = stored(held, "mixed")
-    taken = mix(held.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "_size"))
+    taken = mix(held.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.source").cast("string").alias("source"), "_size"))
     taken = stored(taken.filter("taken > 0").select("_row", "taken"), "taken")
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
     rest = F.col("taken") % F.col("_size")
@@ -160,11 +159,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copies = held.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times.cast("long"))))
     first = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), rest.cast("string"), F.lit("}+"))
     part = (F.col("_copy") == times) & (rest > 0)
-    text = F.when(part, F.call_function("regexp_extract", F.col("text"), first, F.lit(0))).otherwise(F.col("text"))
-    copies = copies.withColumn("text", text)
-    if "n_chars" in columns:
-        copies = copies.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return copies.select(*columns)
+    text = F.when(part, F.call_function("regexp_extract", F.col("_doc.text"), first, F.lit(0))).otherwise(F.col("_doc.text"))
+    copies = copies.withColumn("_new", text)
+    new = {"text": F.col("_new"), "n_chars": F.char_length("_new")}
+    return copies.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("_doc")[f.name]).alias(f.name) for f in docs.schema))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,11 @@ _MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
 def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    where = np.flatnonzero(flags)
-    return np.diff(np.searchsorted(where, at))
+    if not len(flags):
+        return np.zeros(len(at) - 1, np.int64)
+    out = np.add.reduceat(flags.view(np.uint8), np.minimum(at[:-1], len(flags) - 1), dtype=np.int64)
+    out[at[1:] == at[:-1]] = 0
+    return out
 
 
 def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +74,7 @@ def statistics(b: Block) -> dict[str, np.ndarray]:
     start = start[start < len(data)]
     stop = np.append(start[1:], len(data))
     stop = stop - (data[np.maximum(stop - 1, 0)] == 10) if len(data) else stop
-    solid = np.concatenate([[0], np.cumsum(~blank)])
-    real = solid[stop] > solid[start] if len(data) else np.zeros(0, bool)
+    real = np.searchsorted(w.start, stop) > np.searchsorted(w.start, start)  # a word begins in it
     start, stop = start[real], stop[real]
     doc = np.searchsorted(b.at, start, side="right") - 1
     _, later = _repeated(hash_runs(data, start, stop - start, 7) ^ salt[doc])

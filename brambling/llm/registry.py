@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import importlib
+from . import media, minhash, mixing, packing, pii, quality, secrets, suffixes, token_counts, toxicity
 
-#: Query -> module that holds a function of that name, and SQL_<name> where there is SQL.
-_QUERIES = {
-    "op1_suffix_dedup": "suffixes",
-    "op2_toxicity": "toxicity",
-    "op3_packing": "packing",
-    "op4_media": "media",
-    "op5_pii": "pii",
-    "op6_mixing": "mixing",
-    "op7_token_counts": "token_counts",
-    "op8_quality": "quality",
-    "op9_minhash": "minhash",
-    "op10_secrets": "secrets",
-}
+_QUERIES = (
+    suffixes.op1_suffix_dedup,
+    toxicity.op2_toxicity,
+    packing.op3_packing,
+    media.op4_media,
+    pii.op5_pii,
+    mixing.op6_mixing,
+    token_counts.op7_token_counts,
+    quality.op8_quality,
+    minhash.op9_minhash,
+    secrets.op10_secrets,
+)
 
 
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _QUERIES.items()}
+    return {query.__name__: query for query in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE_SQL", None) for name, module in _QUERIES.items()}
-    return {name: sql for name, sql in found.items() if sql}
+    return {"op6_mixing": mixing.ORACLE_SQL}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks
-from .common import documents, texts
+from .common import documents, stored, texts
 from .tokens import BlockEncoder, default_tokenizer
 
 #: Lengths that share a stretch of the two-level suffix sum.
@@ -43,10 +43,14 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     """length, n_docs and their suffix sums: docs_at_least, tokens_at_least, and truncated_tokens, the total when every document is cut at this length.
 
-    The sums have two levels, first over stretches of lengths and then within
-    one, so that no task gets all distinct lengths.
+    Documents are encoded for the counts only, which are stored.
     """
     hist = lengths.groupBy(F.col(column).alias("length")).agg(F.count("*").alias("n_docs")).filter("length is not null")
+    return suffix_sums(stored(hist, "histogram"))
+
+
+def suffix_sums(hist: DataFrame) -> DataFrame:
+    """The sums of a stored table with length and n_docs. They have two levels, first over stretches of lengths and then within one, so that no task gets all distinct lengths."""
     hist = hist.withColumn("_stretch", F.floor(F.col("length") / STRETCH)).withColumn("_tokens", F.col("length") * F.col("n_docs"))
     after = Window.orderBy(F.desc("_stretch")).rowsBetween(Window.unboundedPreceding, -1)
     later = (
@@ -76,17 +80,18 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """share, length: the least length that at least this share of the documents does not exceed."""
-    wanted = histogram.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    hit = histogram.join(F.broadcast(wanted), F.col("docs_at_most") >= F.col("share") * F.col("total_docs"))  # the list of shares is the caller's
-    return hit.groupBy("share").agg(F.min("length").alias("length"))
+    least = [F.struct(F.lit(float(s)).alias("share"), F.min(F.when(F.col("docs_at_most") >= float(s) * F.col("total_docs"), F.col("length"))).alias("length")) for s in shares]
+    return histogram.agg(F.array(*least).alias("_all")).select(F.inline("_all")).filter("length is not null")
 
 
 def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context_limit, total: tokens that remain when every document is cut at the limit; any limit, not only lengths that occur."""
-    wanted = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    cut = F.least(F.col("length"), F.col("context_limit")) * F.col("n_docs")
-    pairs = histogram.crossJoin(F.broadcast(wanted))  # the list of limits is the caller's
-    return pairs.groupBy("context_limit").agg(F.sum(cut).alias("total"))
+    """context_limit, total: tokens that remain when every document is cut at the limit; any limit, not only lengths that occur.
+
+    A limit is a length that no document has, so its suffix sums are its answer.
+    """
+    wanted = histogram.sparkSession.createDataFrame([(int(x), 0) for x in set(limits)], "length long, n_docs long")
+    both = histogram.select("length", "n_docs").union(wanted).groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return suffix_sums(stored(both, "limits")).join(wanted.select("length"), "length", "left_semi").select(F.col("length").alias("context_limit"), F.col("truncated_tokens").alias("total"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

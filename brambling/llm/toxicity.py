@@ -22,6 +22,7 @@ and below 0.5; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,10 +37,10 @@ from .lexicon import Matcher
 
 #: Labelled documents that are learned from, about, at most (by a hash of their ids).
 TRAINING_ROWS = 20_000
-#: Terms of the lexicon, at most: those with the most toxic documents.
-MAX_TERMS = 2_000
-MIN_STEM, MAX_STEM = 4, 12
-MIN_SHARE = 0.9
+#: Letters of a stem.
+MIN_STEM, MAX_STEM = 4, 24
+#: What makes a term: toxic documents that have it, their share of all that have it, and how much rarer than one in all words that share is by chance, in bits.
+MIN_TOXIC, MIN_SHARE, MIN_BITS = 3, 0.9, 1.0
 FOLDS = 5
 BATCH = 4 << 20
 #: Words on either side of a match that its context window has.
@@ -125,11 +126,19 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _lexicon(train: DataFrame, n_toxic: int) -> list[tuple[str, bool]]:
-    """Words, and stems instead of the words that begin with them."""
+def _marks(base: float, n_words: int) -> Column:
+    """Whether a term's documents are toxic too often for chance, given the share of toxic documents and how many words there are to choose from."""
+    toxic, every = F.col("toxic"), F.col("toxic") + F.col("clean")
+    share = toxic / every
+    clean = F.when(share < 1, F.col("clean") * F.log2((1 - share) / (1 - base))).otherwise(F.lit(0.0))
+    bits = toxic * F.log2(share / base) + clean
+    return (toxic >= MIN_TOXIC) & (share >= MIN_SHARE) & (bits >= math.log2(max(1, n_words)) + MIN_BITS)
+
+
+def _lexicon(train: DataFrame, n_toxic: int, n: int) -> list[tuple[str, bool]]:
+    """Words, and stems instead of the words that begin with them. All that mark the label: of a bounded training sample there are few."""
     counts = stored(_word_counts(train), "words")
-    least = max(3, round(0.01 * n_toxic))
-    marks = (F.col("toxic") >= least) & (F.col("toxic") >= MIN_SHARE * (F.col("toxic") + F.col("clean")))
+    marks = _marks(n_toxic / n, counts.count())
     sizes = F.sequence(F.lit(MIN_STEM), F.least(F.length("word") - 1, F.lit(MAX_STEM)))
     begun = counts.filter(F.length("word") > MIN_STEM).select("word", "toxic", "clean", F.explode(sizes).alias("_n"))
     stems = begun.groupBy(F.substr("word", F.lit(1), F.col("_n")).alias("term")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count(F.when(F.col("toxic") > 0, 1)).alias("_words"))
@@ -137,7 +146,7 @@ def _lexicon(train: DataFrame, n_toxic: int) -> list[tuple[str, bool]]:
     shorter = stems.select(F.col("term").alias("_shorter"))
     stems = stems.join(shorter, F.expr("left(term, length(term) - 1)") == F.col("_shorter"), "left_anti").select("term", "toxic", F.lit(True).alias("is_stem"))
     words = counts.filter(marks & (F.length("word") >= 3)).select(F.col("word").alias("term"), "toxic", F.lit(False).alias("is_stem"))
-    best = words.union(stems).orderBy(F.desc("toxic"), "term", "is_stem").limit(MAX_TERMS).collect()  # the lexicon's size is a parameter
+    best = words.union(stems).orderBy(F.desc("toxic"), "term", "is_stem").collect()  # each has MIN_TOXIC of the training documents
     chosen = [(r["term"], r["is_stem"]) for r in best]
     begins = {t for t, s in chosen if s}
     return [(t, s) for t, s in chosen if s or not any(t[:k] in begins for k in range(MIN_STEM, len(t) + 1))]
@@ -187,7 +196,7 @@ def learn(docs: DataFrame, marked: DataFrame, rows: int = TRAINING_ROWS) -> Mode
     n_toxic, n_clean = n["toxic"], n["n"] - n["toxic"]
     if not n_toxic or not n_clean:
         return Model([], np.zeros((0, 2)), np.append(PRIOR[0], np.zeros(4)))
-    terms = _lexicon(train, n_toxic)
+    terms = _lexicon(train, n_toxic, n["n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms)

@@ -14,10 +14,14 @@ neighbouring entries of one table and a signature is the minimum of such rows.
    members; every link is confirmed on the full sets.
    The weightiest member is chosen, the one that shares most buckets with most
    others: of edited copies that is the document they were made from.
-4. For buckets whose members are still of several components, the pairs that
-   lie in different ones are all confirmed, unless their sizes are too different
-   or their sketches of WIDE further coordinates differ in more than WIDE_BITS
-   (at a similarity of 0.75 that is over five deviations away).
+4. Members of buckets that are still of several components are compared by an
+   exact prefix filter: a document's shingles are put in order, the rarest of
+   these documents first, and two sets at a similarity of 0.75 share one among
+   the first quarter of both, and among the first seventh of one. So documents
+   that have a common passage and little else in common never meet, and pairs
+   grow with those that are nearly similar, not with the size of a bucket. A
+   shingle's largest component is compared with the others only, not with
+   itself. Every pair found is confirmed on the full sets.
 5. Components come from distributed star contraction.
 
 Documents without words are linked with nothing. Repeated rows have equal sets
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, _strings, blocks, hash_runs, mix
@@ -45,10 +49,6 @@ K = BANDS * ROWS
 PLACES = 1 << 20
 SKETCH_BITS = 56
 STAR_ROUNDS = 2
-#: Coordinates of the sketch that decides which pairs of different components are compared, one bit each, and in how many they may differ: 512 are expected at a similarity of 0.75, with a deviation of 21.
-WIDE, WIDE_BITS = 4096, 630
-#: Ids of candidate documents are broadcast up to this many (16 bytes each); beyond that their texts are found by a shuffled join.
-BROADCAST_IDS = 1_000_000
 #: The second permutation, with its first entries again at the end, so that shifts need no wrapping.
 _table: np.ndarray | None = None
 
@@ -58,7 +58,7 @@ def _rows(k: int) -> np.ndarray:
     global _table
     if _table is None:
         order = np.argsort(mix(np.arange(PLACES, dtype=np.uint64) + np.uint64(1 << 40)), kind="stable").astype(np.uint32)
-        _table = np.concatenate([order, order[:WIDE]])
+        _table = np.concatenate([order, order[:K]])
     return np.lib.stride_tricks.sliding_window_view(_table[: PLACES + k - 1], k)
 
 
@@ -152,33 +152,50 @@ def _confirmed(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("u", "_left", "v", "_right").mapInArrow(run, "u long, v long")
 
 
-def _wide_bits(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The lowest bits of WIDE coordinates, a few documents at a time: whole signatures would take 16 KB each."""
-    out = np.zeros((len(counts), WIDE // 64), np.int64)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    for i in range(0, len(counts), 64):
-        j = min(len(counts), i + 64)
-        bits = (signatures(keys[at[i] : at[j]], counts[i:j], WIDE) & 1).astype(np.uint8)
-        out[i:j] = np.packbits(bits, axis=1).view(np.int64)
-    return out
+_SKETCH = ("_s0", "_s1", "_s2")
 
 
-def _wide(found: DataFrame) -> DataFrame:
-    """_node, _size and a sketch of WIDE bits of documents with _node and _found."""
-    schema = "_node long, _size long, " + ", ".join(f"_w{k} long" for k in range(WIDE // 64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 2 << 20):
-            keys, counts = shingle_sets(b)
-            sketch = _wide_bits(keys, counts)
-            yield pa.RecordBatch.from_arrays([b.doc_id, pa.array(counts, pa.int64()), *(pa.array(x.copy()) for x in sketch.T)], [c.split()[0] for c in schema.split(", ")])
+def _alike() -> Column:
+    """Whether the sketches of a and b differ in few bits: at a similarity of 0.75 24 are expected, with a deviation of 5."""
+    return sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in _SKETCH), F.lit(0)) <= SKETCH_BITS
 
-    return found.select("_node", "_found").mapInArrow(run, schema)
 
+def _prefixes(found: DataFrame, pool: DataFrame) -> DataFrame:
+    """_node, _size, _h, _place of the shingles that are among the first quarter of their document's, the rarest in the pool first; _place counts from 0. Shingles of one document only have their places but no rows."""
 
-def _difference(names: list[str]) -> Column:
-    """Bits in which the sketches of a and b differ."""
-    return sum((F.bit_count(F.col(f"a.{n}").bitwiseXOR(F.col(f"b.{n}"))) for n in names), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, 1 << 20):
+            keys, counts = shingle_sets(b)
+            node = np.repeat(b.doc_id.to_numpy(zero_copy_only=False).astype(np.int64), counts)
+            rows = pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.repeat(counts, counts), pa.int64()), pa.array(keys.view(np.int64))], ["_node", "_size", "_h"])
+            for i in range(0, len(rows), 1 << 16):
+                yield rows.slice(i, 1 << 16)
+
+    own = found.join(pool.select("_node"), "_node", "left_semi").select("_node", "_found")
+    shingles = stored(own.mapInArrow(run, "_node long, _size long, _h long"), "shingles")
+    common = shingles.groupBy("_h").agg(F.count("*").alias("_df")).filter("_df > 1")
+    document = Window.partitionBy("_node")  # one document's shingles
+    rows = shingles.join(common, "_h").select("_node", "_size", "_h", F.row_number().over(document.orderBy("_df", "_h")).alias("_k"), F.count("*").over(document).alias("_n"))
+    return rows.select("_node", "_size", "_h", (F.col("_size") - F.col("_n") + F.col("_k") - 1).alias("_place")).filter(4 * F.col("_place") <= F.col("_size"))
+
+
+def _prefix_pairs(found: DataFrame, pool: DataFrame) -> DataFrame:
+    """Pairs of nodes of different classes that may be similar. pool: _node, _class and sketches, stored.
+
+    If x and y share more than 3/7 of their sizes' sum, and their first common
+    shingle is at places i and j, at least so many of either follow from it on;
+    so 7 (i + j) is at most the sum, and one of the two is early: 7 i at most
+    its size. Places beyond a quarter leave less than 3/4.
+    """
+    rows = stored(_prefixes(found, pool).join(pool, "_node"), "prefixes")
+    main = rows.groupBy("_h", "_class").agg(F.count("*").alias("_n")).groupBy("_h").agg(F.max(F.struct("_n", "_class"))["_class"].alias("_main"), F.count("*").alias("_classes"))
+    rows = rows.join(main.filter("_classes > 1").select("_h", "_main"), "_h")
+    rows = stored(rows.withColumn("_main", F.col("_class") == F.col("_main")).withColumn("_early", 7 * F.col("_place") <= F.col("_size")), "mixed_prefixes")
+    several = rows.filter(~F.col("_main"))
+    close = (4 * F.least("a._size", "b._size") >= 3 * F.greatest("a._size", "b._size")) & (7 * (F.col("a._place") + F.col("b._place")) <= F.col("a._size") + F.col("b._size"))
+    wanted = (F.col("a._class") != F.col("b._class")) & (F.col("b._main") | (F.col("a._node") < F.col("b._node"))) & close & _alike()
+    met = [several.filter(a).alias("a").join(rows.filter(b).alias("b"), "_h").filter(wanted) for a, b in (("_early", "true"), ("not _early", "_early"))]
+    return met[0].select("a._node", F.col("b._node").alias("_other")).union(met[1].select("a._node", F.col("b._node").alias("_other")))
 
 
 def _classified(docs: DataFrame) -> DataFrame:
@@ -212,23 +229,17 @@ def _classified(docs: DataFrame) -> DataFrame:
             now = stored(now, "mixed")
             if now.isEmpty():
                 break
-        near = _difference(["_s0", "_s1", "_s2"]) <= SKETCH_BITS
         one = F.struct("_weight", "_node", "_class", "_s0", "_s1", "_s2")
         if not turn:
-            other, apart = now.groupBy("_bucket").agg(F.max(one).alias("_c")).select("_bucket", "_c.*"), F.col("a._class") != F.col("b._class")
+            other = now.groupBy("_bucket").agg(F.max(one).alias("_c")).select("_bucket", "_c.*")
         elif turn < STAR_ROUNDS:  # the weightiest member of two of the bucket's classes
             ends = F.array(F.max(F.when(F.col("_class") == F.col("_low"), one)), F.max(F.when(F.col("_class") == F.col("_high"), one)))
-            other, apart = now.groupBy("_bucket").agg(ends.alias("_c")).select("_bucket", F.explode("_c").alias("_c")).select("_bucket", "_c.*"), F.col("a._class") != F.col("b._class")
+            other = now.groupBy("_bucket").agg(ends.alias("_c")).select("_bucket", F.explode("_c").alias("_c")).select("_bucket", "_c.*")
+        if turn < STAR_ROUNDS:
+            pairs = now.alias("a").join(other.alias("b"), "_bucket").filter((F.col("a._class") != F.col("b._class")) & _alike()).select("a._node", F.col("b._node").alias("_other"))
         else:
-            now = now.join(stored(_wide(found.join(now.select("_node").distinct(), "_node", "left_semi")), "wide"), "_node")
-            now = now.join(own.select(F.col("_row").alias("_node"), "_bands"), "_node")
-            other, apart = now, F.col("a._class") < F.col("b._class")
-            shares = 100 * F.least("a._size", "b._size") >= PERCENT * F.greatest("a._size", "b._size")
-            near = shares & (_difference([f"_w{k}" for k in range(WIDE // 64)]) <= WIDE_BITS)
-            # a pair that shares several buckets comes from the least of them only
-            near = near & (F.array_min(F.array_intersect("a._bands", "b._bands")) == F.col("_bucket"))
-        pairs = now.alias("a").join(other.alias("b"), "_bucket").filter(apart & near)
-        pairs = pairs.select(F.greatest("a._node", "b._node").alias("u"), F.least("a._node", "b._node").alias("v")).distinct()
+            pairs = _prefix_pairs(found, stored(now.select("_node", "_class", *_SKETCH).distinct(), "pool"))
+        pairs = pairs.select(F.greatest("_node", "_other").alias("u"), F.least("_node", "_other").alias("v")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stored(pairs, "pairs")

@@ -45,6 +45,8 @@ NEAR_WORDS, NEAR_CHARS = 3, 64
 MIN_CONTEXTS, MIN_SHARE, MIN_GAIN, MIN_BITS = 3, 0.5, 0.5, 8.0
 #: Candidate terms are broadcast up to this many (about 40 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_TERMS = 500_000
+#: Disclosing terms that are literals of the expressions, a hash set that every text's words are held against; beyond that words are joined with them by a shuffle.
+LITERAL_TERMS = 2_000
 _STRETCH = 512
 
 
@@ -181,8 +183,8 @@ def _joint_counts(keyed: DataFrame, spanned: DataFrame) -> DataFrame:
     return pairs.filter((F.col("_contexts") >= MIN_CONTEXTS) | F.col("_near")).drop("_contexts", "_near")
 
 
-def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame | None:
-    """_id, _text, _terms: which disclosing terms each document has; None if no term is one. keyed: documents with text, _id, _text and _spans, spanned: the same, stored."""
+def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame:
+    """_term: all disclosing terms. keyed: documents with text, _id, _text and _spans, spanned: the same, stored."""
     total = spanned.agg(F.count("*").alias("_n"))
     share, base = F.col("_n_both") / F.col("_n_term"), F.col("_n_entity") / F.col("_n")
     gain = F.log2(share / base)
@@ -190,34 +192,41 @@ def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame | None:
     # an entity of all documents has no bits to give
     told = F.when(base < 1, (gain >= MIN_GAIN * -F.log2(base)) & (F.col("_n_term") * (share * gain + without) >= MIN_BITS)).otherwise(F.lit(False))
     chosen = _joint_counts(keyed, spanned).crossJoin(F.broadcast(total)).filter((share >= MIN_SHARE) & told)  # one row
-    chosen = stored(chosen.select("_term").distinct(), "terms")
-    n_chosen = chosen.count()
-    if not n_chosen:
-        return None
-    chosen = F.broadcast(chosen) if n_chosen <= BROADCAST_TERMS else chosen
-    having = keyed.select("_id", "_text", F.explode(F.array_distinct(_words(F.col("text")))).alias("_term")).join(chosen, "_term", "left_semi")
-    having = having.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms"))  # of one document
-    return stored(having, "disclosing")
+    return stored(chosen.select("_term").distinct(), "terms")
 
 
-def _with_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def _own_terms(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """docs with _terms, the disclosing terms that a document has, null if none."""
+    words = F.array_distinct(_words(F.col("text")))
+    few = [r["_term"] for r in chosen.limit(most + 1).collect()]
+    if not few:
+        return docs.withColumn("_terms", F.lit(None).cast("array<string>"))
+    if len(few) <= most:
+        docs = docs.withColumn("_terms", F.sort_array(F.filter(words, lambda w: w.isin(*few))))
+        return docs.withColumn("_terms", F.when(F.size("_terms") > 0, F.col("_terms")))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_TERMS else chosen
+    having = docs.select("_id", "_text", F.explode(words).alias("_term")).join(chosen, "_term", "left_semi")
+    having = stored(having.groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_term")).alias("_terms")), "disclosing")  # of one document
+    return docs.join(F.broadcast(having) if having.count() <= BROADCAST_ROWS else having, ["_id", "_text"], "left")
+
+
+def _with_terms(docs: DataFrame, chosen: DataFrame, most: int = LITERAL_TERMS) -> DataFrame:
     """Adds the term spans of documents with text, _id, _text and _spans."""
     either = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    joined = docs.join(terms, ["_id", "_text"], "left")
+    joined = _own_terms(docs, chosen, most)
     joined = _add_spans(joined.withColumn("_either", either), "_own", F.col("_either"), len(KINDS), F.col("_terms").isNotNull())
     return joined.withColumn("_spans", F.sort_array(F.concat("_spans", "_own"))).drop("_terms", "_either", "_own")
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
+def find_pii(docs: DataFrame, most: int = LITERAL_TERMS) -> DataFrame:
     """doc_id and _spans (start, kind as a place in KINDS or after them for terms, end, value, before, after) of every document."""
     plain = texts(docs)
     keyed = with_base_spans(plain.withColumn("_id", id_key()).withColumn("_text", text_key()))
     spanned = stored(keyed.drop("text"), "spans")
-    terms = disclosing_terms(spanned, keyed)
-    if terms is None:
+    chosen = disclosing_terms(spanned, keyed)
+    if chosen.isEmpty():
         return spanned.select("doc_id", "_spans")
-    return _with_terms(keyed, terms).select("doc_id", "_spans")
+    return _with_terms(keyed, chosen, most).select("doc_id", "_spans")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -226,8 +235,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = with_base_spans(held.withColumn("_id", id_key()).withColumn("_text", text_key()))
     spanned = stored(keyed.select("_id", "_text", "_spans"), "spans")
-    terms = disclosing_terms(spanned, keyed)
-    found = keyed if terms is None else _with_terms(keyed, terms)
+    chosen = disclosing_terms(spanned, keyed)
+    found = keyed if chosen.isEmpty() else _with_terms(keyed, chosen)
     # overlapping spans become one, under the kind of the first
     span = "struct<start: bigint, kind: int, end: bigint>"
     merged = F.aggregate(

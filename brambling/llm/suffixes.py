@@ -16,13 +16,18 @@ has two positions of 32 rather than six of 31.
    ranked once: contexts sorted from the anchor to the right, and to the left,
    with the common prefixes of neighbours. Suffixes of one shift are then sorted
    at a time, by the two ranks; equal ones lie together, and all but those of the
-   smallest id are marked. A bucket's memory is bounded by its size, and sizes
-   follow from the number of buckets, which grows with the corpus.
+   smallest id are marked. The number of buckets grows with the corpus, and each
+   is a task of its own.
 3. Marks return to their documents.
 
 Every block of documents settles its own repeats first, so that of a passage
-that a third of all documents share only one context for each block travels.
-Exact copies of whole documents are covered without any of that.
+that a third of all documents share only one context for each block travels. An
+anchor of more than HOT blocks, most often a common phrase in ever new contexts,
+is split: its shorter shifts go to a bucket by the FINE bytes from the anchor on,
+which all suffixes of such shifts share, and its longer ones to a bucket by the
+bytes on either side of the anchor. Exact copies of whole documents are covered
+without any of that. A long document is worked on in pieces that overlap by
+LENGTH - 1 bytes.
 
 Null and empty texts have 0 bytes; rows of one doc_id do not repeat each other;
 a null doc_id counts as larger than every other one; an empty table gives no
@@ -51,6 +56,10 @@ CONTEXT = REACH + LENGTH
 KEY_BITS = 44
 BUCKET_BYTES = 6 << 20
 BATCH = 3 << 19
+#: Blocks that may have an anchor before its suffixes are split by shift, up to NEAR or beyond it; FINE bytes follow from every anchor of the former.
+HOT, NEAR = 128, 15
+FINE = LENGTH - NEAR
+_FLAG = np.uint64(1 << 63)
 #: Rows (30 bytes and a document's few spans) that are broadcast at most; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _ROW = "dest long, kind int, block long, a binary, b binary, c binary"
@@ -164,13 +173,15 @@ def _all_masks(r: Records) -> np.ndarray:
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as compressed bytes, the lowest bytes of all numbers first, which compresses better."""
     codec = pa.Codec("zstd", compression_level=1)
-    raw = b"".join(np.ascontiguousarray(x.reshape(len(x), -1).view(np.uint8).reshape(len(x), -1).T if x.ndim == 1 else x).tobytes() for x in arrays)
+    parts = [np.ascontiguousarray(x) for x in arrays]
+    raw = b"".join((x.view(np.uint8).reshape(len(x), x.itemsize).T if x.ndim == 1 else x).tobytes() for x in parts)
     return len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True)
 
 
 def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     """The arrays of _pack; a kind is a numpy type, or a number of bytes in a row."""
-    data = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
+    size = int.from_bytes(raw[:8], "little")
+    data = np.frombuffer(pa.Codec("zstd").decompress(raw[8:], size, asbytes=True) if size else b"", np.uint8)
     widths = [int(k) if k.isdigit() else np.dtype(k).itemsize for k in kinds]
     n, out, at = len(data) // sum(widths), [], 0
     for k, w in zip(kinds, widths):
@@ -212,25 +223,39 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[i
     release()
 
 
-def _dealt(df: DataFrame, by: str) -> DataFrame:
-    return df.repartition(by).sortWithinPartitions(by, "kind")
+def _dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """In n partitions: bucket k is alone in the partition of that number, blocks are spread."""
+    spread = F.pmod(F.xxhash64(by), F.lit(n))
+    place = F.when(F.col(by) >= 0, F.col(by)).otherwise(spread) if by == "dest" else spread
+    return df.repartitionById(n, place.cast("int")).sortWithinPartitions(by, "kind")
 
 
 def _bucket_of(key: np.ndarray, n: int) -> np.ndarray:
     return ((key >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Block, int]]:
+    """Blocks, and long documents in pieces, with the place where a piece begins."""
+    for b in blocks(batches, most):
+        if len(b.doc_id) > 1 or len(b.data) <= 2 * most:
+            yield b, 0
+            continue
+        for s in range(0, len(b.data) - LENGTH + 1, most):
+            data = b.data[s : s + most + LENGTH - 1]
+            yield Block(b.doc_id, data, np.array([0, len(data)]), b.rest), s
+
+
 def _docs_row(block: int, b: Block) -> tuple:
     ids = b.doc_id.to_numpy(zero_copy_only=False).astype(np.int64)
     return (-block, _DOCS, block, _pack(ids, b.rest[0].to_numpy(zero_copy_only=False).astype(np.int64)), b"", b"")
 
 
-def _anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _anchors(docs: DataFrame, n_buckets: int, batch: int) -> DataFrame:
     """Rows for documents, for anchors that a block repeats itself, and for each bucket's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _Blocks()
-        for b in blocks(batches, BATCH):
+        for b, _ in _cut(batches, batch):
             block, r = number.take(), records(b.data, b.at)
             key = r.key >> np.uint64(64 - KEY_BITS)
             order = np.lexsort((r.doc, key))
@@ -253,8 +278,8 @@ def _anchors(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.select("_id", "text", "_text").mapInArrow(run, _ROW)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Which anchors of which documents lie in several documents: _id, _text, keys."""
+def _shared(rows: DataFrame, n: int, hot: int) -> DataFrame:
+    """Which anchors of which documents lie in several documents: _id, _text, keys, with a flag on those of more than `hot` blocks."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(batches, 0):
@@ -269,8 +294,11 @@ def _shared(rows: DataFrame) -> DataFrame:
             order = np.argsort(key, kind="stable")
             head = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
             size = np.diff(np.append(head, len(key)))
+            many = np.zeros(len(key), bool)
+            many[order] = np.repeat(size > hot, size)
             hit = order[np.repeat(size > 1, size)]
-            hit = np.sort(hit[whose[hit] >= 0])  # an anchor that its block repeats is known there
+            hit = np.sort(hit[(whose[hit] >= 0) | many[hit]])  # an anchor that its block repeats is known there, but for the flag
+            key = np.where(many, key | _FLAG, key)
             edge = np.searchsorted(source[hit], np.arange(len(parts) + 1))
             out = [(-travels[i][2], _LOCAL, travels[i][2], _pack(key[hit[a:z]], whose[hit[a:z]]), b"", b"") for i, (a, z) in enumerate(zip(edge[:-1], edge[1:])) if z > a]
             if out:
@@ -283,6 +311,9 @@ def _shared(rows: DataFrame) -> DataFrame:
             if not parts:
                 continue
             key, doc = (np.concatenate(x) for x in zip(*parts))
+            plain = key & ~_FLAG
+            key = np.where(np.isin(plain, plain[key != plain]), plain | _FLAG, plain)[doc >= 0]
+            doc = doc[doc >= 0]
             order = np.argsort(doc, kind="stable")
             key, doc = key[order], doc[order]
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
@@ -290,42 +321,75 @@ def _shared(rows: DataFrame) -> DataFrame:
             keys = [key[edge[i] : edge[i + 1]].astype("<u8").tobytes() for i in some.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(text_keys[some]), pa.array(keys, pa.binary())], ["_id", "_text", "_keys"])
 
-    met = _dealt(rows, "dest").mapInArrow(meet, _ROW)
-    return _dealt(met, "block").mapInArrow(gather, "_id long, _text long, _keys binary")
+    met = _dealt(rows, "dest", n).mapInArrow(meet, _ROW)
+    return _dealt(met, "block", n).mapInArrow(gather, "_id long, _text long, _keys binary")
 
 
-def _travelling(docs: DataFrame, n_buckets: int) -> DataFrame:
+def _row_hash(key: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A hash of a key and a row of bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    out = key.copy()
+    for word in padded.view("<u8").T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ word)
+    return out
+
+
+def _routes(key: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray, hot: np.ndarray, n_buckets: int) -> tuple[np.ndarray, ...]:
+    """Which records go to which buckets, and with which shifts: record, bucket, left and right."""
+    plain = np.flatnonzero(~hot)
+    short = np.flatnonzero(hot & (right >= FINE))
+    far = np.flatnonzero(hot & (left > NEAR))
+    around = np.concatenate([context[far, : NEAR + 1], context[far, REACH : REACH + ANCHOR]], axis=1)
+    hashes = np.concatenate([key[plain], _row_hash(key[short], context[short, REACH : REACH + FINE]), _row_hash(key[far] ^ _FLAG, around)])
+    return (
+        np.concatenate([plain, short, far]),
+        _bucket_of(hashes, n_buckets),
+        np.concatenate([left[plain], np.minimum(left[short], NEAR), left[far]]),
+        np.concatenate([right[plain], right[short], np.minimum(right[far], FINE - 1)]),
+    )
+
+
+def _travelling(docs: DataFrame, n_buckets: int, batch: int) -> DataFrame:
     """Documents with their shared anchors: rows for documents, for marks that a block makes itself, and for contexts in buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _Blocks()
-        for b in blocks(batches, BATCH):
+        for b, begin in _cut(batches, batch):
             block, r = number.take(), records(b.data, b.at)
-            listed = b.rest[1].to_pylist()
+            listed = [b"".join(x) for x in b.rest[1].to_pylist()]
             salt = mix(np.arange(1, len(listed) + 1, dtype=np.uint64))
-            known = np.frombuffer(b"".join(listed), "<u8") ^ np.repeat(salt, [len(x) // 8 for x in listed])
-            r = Records(*(x[np.isin((r.key >> np.uint64(64 - KEY_BITS)) ^ salt[r.doc], known)] for x in r))
+            known = np.frombuffer(b"".join(listed), "<u8")
+            plain = (known & ~_FLAG) ^ np.repeat(salt, [len(x) // 8 for x in listed])
+            own_key = (r.key >> np.uint64(64 - KEY_BITS)) ^ salt[r.doc]
+            hot = np.isin(own_key, plain[known >= _FLAG])
+            some = np.isin(own_key, plain)
+            r, hot = Records(*(x[some] for x in r)), hot[some]
             context = contexts(b.data, r)
             ids = b.doc_id.to_numpy(zero_copy_only=False).astype(np.int64)
             left, right = r.anchor - r.first, r.last + LENGTH - r.anchor
             mask = repeated(r.key, ids[r.doc], left, right, context)
-            place = r.anchor - b.at[r.doc]
+            place = r.anchor - b.at[r.doc] + begin
             yield _rows([_docs_row(block, b), (-block, _LOCAL, block, _pack(r.doc.astype("<i4"), place), _pack(mask), b"")])
-            left_over = np.flatnonzero(mask != _all_masks(r))
-            left_over = left_over[np.argsort(r.key[left_over], kind="stable")]
-            step = np.searchsorted(_bucket_of(r.key[left_over], n_buckets), np.arange(n_buckets + 1))
+            rest = np.flatnonzero(mask != _all_masks(r))
+            which, bucket, left, right = _routes(r.key[rest], left[rest], right[rest], context[rest], hot[rest], n_buckets)
+            which = rest[which]
+            order = np.lexsort((r.key[which], bucket))
+            which, left, right = which[order], left[order].astype(np.uint8), right[order].astype(np.uint8)
+            step = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             out = []
             for k in np.flatnonzero(np.diff(step)).tolist():
-                own = left_over[step[k] : step[k + 1]]
+                part = slice(step[k], step[k + 1])
+                own = which[part]
                 what = _pack(np.diff(r.key[own], prepend=np.uint64(0)), ids[r.doc[own]], own.astype("<i4"))
-                out.append((k, _TRAVELS, block, what, _pack(left[own].astype(np.uint8), right[own].astype(np.uint8)), _pack(context[own])))
+                out.append((k, _TRAVELS, block, what, _pack(left[part], right[part]), _pack(context[own])))
             if out:
                 yield _rows(out)
 
     return docs.select("_id", "text", "_text", "_keys").mapInArrow(run, _ROW)
 
 
-def _spans(rows: DataFrame) -> DataFrame:
+def _spans(rows: DataFrame, n: int) -> DataFrame:
     """_id, _text, _spans: begin and end of each maximal removed run, as 64-bit numbers."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +409,7 @@ def _spans(rows: DataFrame) -> DataFrame:
             for r, a, z in zip(travels, edge[:-1], edge[1:]):
                 hit = a + np.flatnonzero(mask[a:z])
                 if len(hit):
-                    out.append((-r[2], _TRAVELS, r[2], _pack(record[hit]), _pack(mask[hit]), b""))
+                    out.append((-r[2], _TRAVELS, r[2], _pack(record[hit]), _pack(mask[hit]), b""))  # a split record's parts come one by one
             if out:
                 yield _rows(out)
 
@@ -355,7 +419,7 @@ def _spans(rows: DataFrame) -> DataFrame:
             doc, place = _unpack(own[1][3], "<i4", "<i8")
             mask = _unpack(own[1][4], "<u4")[0].copy()
             for r in own[2:]:
-                mask[_unpack(r[3], "<i4")[0]] |= _unpack(r[4], "<u4")[0]
+                np.bitwise_or.at(mask, _unpack(r[3], "<i4")[0], _unpack(r[4], "<u4")[0])
             bit = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
             record, shift = bit >> 5, bit & 31
             start, owner = place[record] - shift, doc[record]
@@ -372,12 +436,12 @@ def _spans(rows: DataFrame) -> DataFrame:
             spans = [pairs[edge[i] : edge[i + 1]].tobytes() for i in some.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(text_keys[some]), pa.array(spans, pa.binary())], ["_id", "_text", "_spans"])
 
-    sorted_ = _dealt(rows, "dest").mapInArrow(sort, _ROW)
-    return _dealt(sorted_, "block").mapInArrow(gather, "_id long, _text long, _spans binary")
+    sorted_ = _dealt(rows, "dest", n).mapInArrow(sort, _ROW)
+    return _dealt(sorted_, "block", n).mapInArrow(gather, "_id long, _text long, _spans binary")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """_id, _text, _spans of documents with removed bytes; _spans is empty where all bytes are removed. docs: _id, _text, text."""
+def repeated_spans(docs: DataFrame, hot: int = HOT, batch: int = BATCH) -> DataFrame:
+    """_id, _text, _spans of documents with removed bytes: lists of begins and ends, one for each piece; an empty one where all bytes are removed. docs: _id, _text, text."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]  # one row
     n_buckets = min(1 << 20, max(16, -(-n_bytes // BUCKET_BYTES)))
     hashed = docs.filter(F.octet_length("text") >= LENGTH).select("_id", "_text", F.unhex(F.sha2("text", 256)).alias("_sha"))
@@ -386,16 +450,28 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     copies = stored(hashed.join(least, "_sha").filter("_id > _least").select("_id", "_text").distinct(), "copies")
     few = copies.count() <= BROADCAST_ROWS
     others = docs.join(F.broadcast(copies) if few else copies, ["_id", "_text"], "left_anti")
-    shared = _shared(_anchors(others, n_buckets)).groupBy("_id", "_text").agg(F.first("_keys").alias("_keys"))
-    spans = _spans(_travelling(others.join(shared, ["_id", "_text"]), n_buckets))
-    spans = spans.groupBy("_id", "_text").agg(F.first("_spans").alias("_spans"))
-    return stored(spans.union(copies.select("_id", "_text", F.lit(b"").alias("_spans"))), "spans")
+    # lists of one document's pieces
+    shared = _shared(_anchors(others, n_buckets, batch), n_buckets, hot).groupBy("_id", "_text").agg(F.collect_list("_keys").alias("_keys"))
+    spans = _spans(_travelling(others.join(shared, ["_id", "_text"]), n_buckets, batch), n_buckets)
+    spans = spans.groupBy("_id", "_text").agg(F.collect_list("_spans").alias("_spans"))
+    return stored(spans.union(copies.select("_id", "_text", F.array(F.lit(b"")).alias("_spans"))), "spans")
+
+
+def _merged(lists: list[bytes] | None, size: int) -> list[tuple[int, int]]:
+    """The maximal removed runs of a document."""
+    out: list[list[int]] = []
+    for s, e in sorted((0, size) if not x else tuple(p) for x in lists or [] for p in (np.frombuffer(x, "<i8").reshape(-1, 2).tolist() or [()])):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
     plain = texts(docs).withColumn("_id", id_key()).withColumn("_text", text_key())
-    spans = repeated_spans(plain)
+    spans = repeated_spans(plain, hot, batch)
     spans = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
@@ -404,7 +480,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             raw = b.data.tobytes()
             out = []
             for s, e, own in zip(b.at[:-1].tolist(), b.at[1:].tolist(), b.rest[0].to_pylist()):
-                pairs = [] if own is None else [(0, e - s)] if not own else np.frombuffer(own, "<i8").reshape(-1, 2).tolist()
+                pairs = _merged(own, e - s)
                 kept, at = [], s
                 for i, j in pairs:
                     kept.append(raw[at : s + i])

@@ -72,9 +72,11 @@ def postings(weighted: DataFrame, lengths: DataFrame) -> DataFrame:
     return weighted.join(lengths, "doc_id").select("term", "doc_id", "tf", "w", "norm")
 
 
-def nested(flat: DataFrame) -> DataFrame:
-    """A row for each term with its whole list; for export, a frequent term's list is as long as the corpus."""
-    return flat.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
+def nested(flat: DataFrame, terms: DataFrame, most: int = 65_536) -> DataFrame:
+    """term, part, postings: a row for each term with its list. A list of more than `most` postings is dealt to several parts by a hash of the document."""
+    parts = F.ceil(F.col("df") / most)
+    own = flat.join(terms.select("term", "df"), "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
+    return own.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
 
 
 def stats(rows: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:

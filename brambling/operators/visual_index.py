@@ -7,8 +7,11 @@ so assigning words needs no shuffle, however many words there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +31,81 @@ class VisualIndex(NamedTuple):
     norms: DataFrame
 
 
-def train_codebook(descriptors: DataFrame, k: int = 1000, sample_images: int = 3000, seed: int = 7) -> DataFrame:
-    """word, center by k-means on the descriptors of a seeded sample of images."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def train_codebook(descriptors: DataFrame, k: int = 1000, sample_images: int = 3000, seed: int = 7, batch: int = 1000, passes: int = 5) -> DataFrame:
+    """word, center by mini-batch k-means on the descriptors of a seeded sample of images.
 
+    The sample is read in the order of a hash, a partition at a time, so that the
+    driver holds one partition's vectors and the centers. Equal descriptors in any
+    partitioning give equal centers.
+    """
     images = sample(descriptors.select("image_id").distinct(), "image_id", sample_images, seed)
-    rows = descriptors.join(F.broadcast(images), "image_id").select(array_to_vector("vec").alias("features"))  # sample_images ids
-    model = KMeans(k=k, seed=seed).fit(rows)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return descriptors.sparkSession.createDataFrame(centers, "word int, center array<double>")
+    rows = descriptors.join(F.broadcast(images), "image_id").select("vec")  # sample_images ids
+    rows = rows.orderBy(F.xxhash64("vec", F.lit(seed)), "vec").mapInArrow(_packed, "width int, vectors binary")
+    trainer = MiniBatch(k, seed, batch)
+    for _ in range(passes):
+        for row in rows.toLocalIterator():
+            trainer.add(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["width"]))
+        trainer.finish()
+    centers = trainer.centers.tolist()
+    return descriptors.sparkSession.createDataFrame(pa.table({"word": pa.array(range(len(centers)), pa.int32()), "center": pa.array(centers, pa.list_(pa.float64()))}))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([len(flat) // b.num_rows], pa.int32()), pa.array([flat.tobytes()], pa.binary())], ["width", "vectors"])
+
+
+class MiniBatch:
+    """Mini-batch k-means: seeded by k-means++ on the first batches, then each center is the running mean of what it was nearest to."""
+
+    def __init__(self, k: int, seed: int, batch: int):
+        self.k, self.batch, self.random = k, batch, np.random.default_rng(seed)
+        self.centers = np.zeros((0, 0))
+        self.counts = np.zeros(0)
+        self.held: list[np.ndarray] = []
+
+    def add(self, vectors: np.ndarray) -> None:
+        """Takes vectors in; whole batches of them move the centers."""
+        self.held.append(vectors)
+        first = max(3 * self.batch, self.k)  # vectors that the centers are seeded from
+        while sum(map(len, self.held)) >= (self.batch if len(self.centers) else first):
+            every = np.concatenate(self.held)
+            if not len(self.centers):
+                self._seed(every[:first])
+            self._step(every[: self.batch])
+            self.held = [every[self.batch :]]
+
+    def finish(self) -> None:
+        """The rest of a pass, less than a batch."""
+        every = np.concatenate([v for v in self.held if len(v)]) if any(map(len, self.held)) else None
+        self.held = []
+        if every is not None:
+            if not len(self.centers):
+                self._seed(every)
+            self._step(every)
+
+    def _distances(self, vectors: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        return (vectors**2).sum(axis=1)[:, None] - 2 * vectors @ centers.T + (centers**2).sum(axis=1)
+
+    def _seed(self, vectors: np.ndarray) -> None:
+        chosen = [vectors[int(self.random.integers(len(vectors)))]]
+        nearest = self._distances(vectors, chosen[0][None])[:, 0].clip(0)
+        while len(chosen) < min(self.k, len(vectors)):
+            chance = nearest if nearest.sum() > 0 else np.ones(len(vectors))
+            chosen.append(vectors[int(self.random.choice(len(vectors), p=chance / chance.sum()))])
+            nearest = np.minimum(nearest, self._distances(vectors, chosen[-1][None])[:, 0].clip(0))
+        self.centers, self.counts = np.stack(chosen), np.zeros(len(chosen))
+
+    def _step(self, vectors: np.ndarray) -> None:
+        word = self._distances(vectors, self.centers).argmin(axis=1)
+        n = np.bincount(word, minlength=len(self.centers))
+        total = np.zeros_like(self.centers)
+        np.add.at(total, word, vectors)
+        self.counts += n
+        moved = n > 0
+        self.centers[moved] += (total[moved] - n[moved, None] * self.centers[moved]) / self.counts[moved, None]
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:

@@ -77,8 +77,10 @@ def postings_weighted(spark, d):
 
 
 def postings_nested(spark, d):
-    listed = ti.nested(_index(spark, d).postings)
-    return listed.select("term", F.size("postings").cast("long").alias("n_postings"), F.element_at("postings", 1)["doc_id"].alias("first_doc"), F.element_at("postings", -1)["doc_id"].alias("last_doc"))
+    index = _index(spark, d)
+    listed = ti.nested(index.postings, index.dictionary)
+    first, last = F.element_at("postings", 1)["doc_id"], F.element_at("postings", -1)["doc_id"]
+    return listed.groupBy("term").agg(F.sum(F.size("postings")).alias("n_postings"), F.min(first).alias("first_doc"), F.max(last).alias("last_doc"))
 
 
 def document_norms(spark, d):

@@ -123,6 +123,13 @@ def test_csv_edges(spark, tmp_path):
     assert [spark.read.csv(f"{tmp_path}/out/prefix_{n}", header=True, multiLine=True).count() for n in (1, 2)] == [1, 2]
 
 
+def test_long_lists_come_in_parts(spark):
+    index = ti.build_index(_corpus(spark, [(i, "gato" if i else "gato pez", "a") for i in range(50)]), stem=False)
+    rows = ti.nested(index.postings, index.dictionary, most=8).collect()
+    lists = [[p["doc_id"] for p in r["postings"]] for r in rows if r["term"] == "gato"]
+    assert sorted(sum(lists, [])) == list(range(50)) and all(x == sorted(x) for x in lists) and len(lists) > 4 and len(rows) == len(lists) + 1
+
+
 def test_block_plan():
     assert ti.plan_blocks(18_000, 512) == (8738, 3) and ti.plan_blocks(0)[1] == 1
 

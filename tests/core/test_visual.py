@@ -173,6 +173,8 @@ def test_trained_codebook_is_repeatable(spark):
     own = spark.createDataFrame(rows, "image_id int, vec array<double>")
     a, b = (sorted(map(tuple, (r["center"] for r in vi.train_codebook(own, k=3).collect()))) for _ in range(2))
     assert a == b
+    again = sorted(map(tuple, (r["center"] for r in vi.train_codebook(own.repartition(5), k=3).collect())))
+    assert a == again and len(vi.train_codebook(own, k=40, batch=8).collect()) == 40
     stats = vi.cluster_stats(vi.assign_words(own, vi.train_codebook(own, k=3)), vi.train_codebook(own, k=3)).collect()[0]
     assert stats["k"] == 3 and stats["mean_size"] == pytest.approx(200 / 3, abs=1e-5)
     assert vi.assign_words(own, vi.train_codebook(own, k=3)).filter(F.col("word").isNull()).count() == 0

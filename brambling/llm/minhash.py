@@ -182,17 +182,17 @@ def _prefixes(found: DataFrame, pool: DataFrame) -> DataFrame:
 def _prefix_pairs(found: DataFrame, pool: DataFrame) -> DataFrame:
     """Pairs of nodes of different classes that may be similar. pool: _node, _class and sketches, stored.
 
-    If x and y share more than 3/7 of their sizes' sum, and their first common
-    shingle is at places i and j, at least so many of either follow from it on;
-    so 7 (i + j) is at most the sum, and one of the two is early: 7 i at most
-    its size. Places beyond a quarter leave less than 3/4.
+    Similar sets share at least 3/7 of their sizes' sum. If their first common
+    shingle is at places i and j, at least so many of either follow from it on,
+    so that the smaller one's is early: 7 i is at most its size. Places beyond a
+    quarter leave less than 3/4.
     """
     rows = stored(_prefixes(found, pool).join(pool, "_node"), "prefixes")
     main = rows.groupBy("_h", "_class").agg(F.count("*").alias("_n")).groupBy("_h").agg(F.max(F.struct("_n", "_class"))["_class"].alias("_main"), F.count("*").alias("_classes"))
     rows = rows.join(main.filter("_classes > 1").select("_h", "_main"), "_h")
     rows = stored(rows.withColumn("_main", F.col("_class") == F.col("_main")).withColumn("_early", 7 * F.col("_place") <= F.col("_size")), "mixed_prefixes")
     several = rows.filter(~F.col("_main"))
-    close = (4 * F.least("a._size", "b._size") >= 3 * F.greatest("a._size", "b._size")) & (7 * (F.col("a._place") + F.col("b._place")) <= F.col("a._size") + F.col("b._size"))
+    close = (4 * F.least("a._size", "b._size") >= 3 * F.greatest("a._size", "b._size")) & (7 * F.least(F.col("a._size") - F.col("a._place"), F.col("b._size") - F.col("b._place")) >= 3 * (F.col("a._size") + F.col("b._size")))
     wanted = (F.col("a._class") != F.col("b._class")) & (F.col("b._main") | (F.col("a._node") < F.col("b._node"))) & close & _alike()
     met = [several.filter(a).alias("a").join(rows.filter(b).alias("b"), "_h").filter(wanted) for a, b in (("_early", "true"), ("not _early", "_early"))]
     return met[0].select("a._node", F.col("b._node").alias("_other")).union(met[1].select("a._node", F.col("b._node").alias("_other")))

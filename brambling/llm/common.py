@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +49,54 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Scratch tables that still exist, in the order in which they were written.
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _remove_all() -> None:
+    for spark, path in _made:
+        _remove(spark, path)
+
+
+atexit.register(_remove_all)
+
+
+def _roots(df: DataFrame) -> set[str]:
+    """The folders that a DataFrame reads, without their scheme."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    out: set[str] = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            out |= {paths.apply(k).toUri().getPath() for k in range(paths.size())}
+    return out
+
+
+def tidy(operator: Callable) -> Callable:
+    """An operator that, when it returns, drops the scratch tables that it has written and its result does not read."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs):
+        first = len(_made)
+        out = operator(*args, **kwargs)
+        used = _roots(out) if isinstance(out, DataFrame) else set()
+        own = _made[first:]
+        _made[first:] = [(s, p) for s, p in own if any(p.endswith(u) for u in used)]
+        for spark, path in own:
+            if not any(path.endswith(u) for u in used):
+                _remove(spark, path)
+        return out
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared scratch folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brambling/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
+    _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, _strings, blocks, hash_runs, mix
-from .common import BROADCAST_ROWS, LAST_ID, documents, id_key, stored, text_key, texts
+from .common import BROADCAST_ROWS, LAST_ID, documents, id_key, stored, text_key, texts, tidy
 from .components import components
 from .words import windows, word_hashes, words
 
@@ -253,6 +253,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     return of_row.withColumn("_class", F.coalesce("_class", "_node", F.col("_row"))).withColumn("_id", id_key())
 
 
+@tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     classified = _classified(docs)
@@ -265,6 +266,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs, with all their columns, without near-duplicates: of each class the document of the smallest id stays, of repeated rows one."""
     classified = stored(_classified(docs).select("_id", "_text", "_class"), "classes")

@@ -12,10 +12,9 @@
    blocks, MOST times each at most. Where a document's stretch begins comes from
    two-level sums too.
 5. A document is taken as often as the blocks that cover its words.
-
-The query op6_mixing is steps 1 to 5, as its SQL fixes them. Slots are coarse
-beside a small source, so mix(), which the pipeline uses, settles each source
-exactly instead: the first words of the stream of step 4, as many as the target.
+6. Slots are coarse beside a small source, so each source is settled to the word:
+   from where its last slot ends its stream is taken further, or given back,
+   until the target is reached. That touches the documents of a few blocks.
 
 Null texts have no words; a null source is a source of its own, the last one;
 repeated rows are documents of their own; an empty table gives no rows, and
@@ -29,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, stored, tidy
 
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Points lie on 0 .. 2**31 - 1; the step is the golden ratio's, to the nearest odd number.
@@ -91,9 +90,9 @@ def _without_words(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _stream(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """The n rows with _s, source_size, target and _start, where a document's words begin in its source's stream."""
+    """The n rows with the columns of wanted and _start, where a document's words begin in its source's stream."""
     digits = max(2, math.ceil(math.log(max(1, n / 5_000), 16)))
-    named = wanted.select(F.col("source").alias("_source"), "_s", "source_size", "target")
+    named = wanted.withColumnRenamed("source", "_source")
     own = rows.select("_row", "doc_id", "source", "_size").join(named, F.col("source").eqNullSafe(F.col("_source")))
     own = own.withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_shard", F.substring("_hash", 1, digits))
     so_far = Window.partitionBy("_s").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,30 +101,18 @@ def _stream(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return own.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(base, ["_s", "_shard"]).withColumn("_start", F.col("_inside") + F.col("_base"))
 
 
+def _of_first(words: Column) -> Column:
+    """How many of a document's words are among the first so many of its source's stream, taken round after round."""
+    size = F.greatest("source_size", F.lit(1))
+    return F.floor(words / size) * F.col("_size") + F.greatest(F.lit(0), F.least(F.col("_size"), words % size - F.col("_start")))
+
+
 def _totals(rows: DataFrame):
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("_size"), F.lit(0)).alias("total")).collect()[0]  # one row
 
 
 def mix(rows: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to rows with doc_id, source, _size and a unique _row, which must be a written table.
-
-    Each source is settled to the word: its stream is taken in whole rounds and
-    then from its beginning, until the target, rounded, is reached.
-    """
-    stats = _totals(rows)
-    wanted = targets(rows)
-    if not stats["total"]:
-        return _without_words(rows, wanted)
-    own = _stream(rows, stored(wanted, "targets"), stats["n"])
-    words = F.least(F.round("target").cast("long"), MOST * F.col("source_size"))
-    size = F.greatest("source_size", F.lit(1))
-    rest = F.greatest(F.lit(0), F.least(F.col("_size"), words % size - F.col("_start")))
-    placed = own.select("_row", "source_size", "target", (F.floor(words / size) * F.col("_size") + rest).cast("long").alias("taken"))
-    return rows.join(placed, "_row").select(*rows.columns, "source_size", "target", "taken")
-
-
-def scheduled_mix(rows: DataFrame) -> DataFrame:
-    """As mix(), but in whole slots of the schedule, as the query's SQL has it: a source is off its target by up to a few blocks."""
+    """Adds source_size, target and taken to rows with doc_id, source, _size and a unique _row, which must be a written table."""
     stats = _totals(rows)
     wanted = targets(rows)
     if not stats["total"]:
@@ -133,18 +120,26 @@ def scheduled_mix(rows: DataFrame) -> DataFrame:
     per = block_tokens(stats["total"])
     wanted = stored(wanted, "targets")
     n_blocks = F.ceil(F.col("source_size") / per)
-    taken = schedule(wanted, stats["total"]).join(wanted, "_s").filter(F.col("_rank") < MOST * n_blocks)
-    times = taken.groupBy("_s", (F.col("_rank") % n_blocks).alias("_block")).agg(F.count("*").alias("_times"))
+    slots = schedule(wanted, stats["total"]).join(wanted, "_s").filter(F.col("_rank") < MOST * n_blocks)
+    times = stored(slots.groupBy("_s", (F.col("_rank") % n_blocks).alias("_block")).agg(F.count("*").alias("_times")), "times")
+    wanted = wanted.join(times.groupBy("_s").agg(F.sum("_times").alias("_slots")), "_s", "left")
+    # the words of a source's slots, whose last block may be short, and the words that it should have
+    slots, size = F.coalesce("_slots", F.lit(0)), F.col("source_size")
+    reached = F.floor(slots / n_blocks) * size + F.least(slots % n_blocks * per, size)
+    wanted = wanted.withColumn("_reached", F.when(size > 0, reached).otherwise(F.lit(0)).cast("long")).withColumn("_words", F.least(F.round("target").cast("long"), MOST * size))
+    own = _stream(rows, stored(wanted.drop("_slots"), "reached"), stats["n"])
 
-    own = _stream(rows, wanted, stats["n"])
     end = F.col("_start") + F.col("_size")
     spread = own.filter("_size > 0").select("_row", "_s", "_start", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("_start") / per), F.floor((end - 1) / per))).alias("_block"))
     overlap = F.least("_end", (F.col("_block") + 1) * per) - F.greatest("_start", F.col("_block") * per)
-    counted = spread.join(times, ["_s", "_block"]).groupBy("_row").agg(F.sum(overlap * F.col("_times")).alias("taken"))
-    placed = own.select("_row", "source_size", "target").join(counted, "_row", "left")
-    return rows.join(placed, "_row").select(*rows.columns, "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    counted = spread.join(times, ["_s", "_block"]).groupBy("_row").agg(F.sum(overlap * F.col("_times")).alias("_blocks"))
+    settled = (_of_first(F.col("_words")) - _of_first(F.col("_reached"))).alias("_settled")
+    placed = own.select("_row", "source_size", "target", settled).join(counted, "_row", "left")
+    taken = (F.coalesce("_blocks", F.lit(0)) + F.col("_settled")).cast("long").alias("taken")
+    return rows.join(placed, "_row").select(*rows.columns, "source_size", "target", taken)
 
 
+@tidy
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each time that a document is taken whole, and one with its first words for the rest."""
     from .common import BROADCAST_ROWS
@@ -165,13 +160,14 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return copies.select(*((new[f.name].cast(f.dataType) if f.name in new else F.col("_doc")[f.name]).alias(f.name) for f in docs.schema))
 
 
+@tidy
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("_size"))
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "sizes")
-    return scheduled_mix(rows).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
+    return mix(rows).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken")
 
 
-#: The same by closed form where a window needs no second level.
+#: The same by closed form: a source's slots and what settles it are together the first words of its stream.
 ORACLE_SQL = rf"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size from documents
@@ -186,29 +182,10 @@ with d as (
   select *, 3 * source_size > own_level * w as free from l
 ), t as (
   select source, s, source_size, case when free then (select own_level from f where free order by source_size / w, s limit 1) * w else (3 * source_size)::double end as target from f
-), g as (
-  select sum(source_size)::bigint as total, greatest(1, floor(sqrt(sum(source_size)) / 64))::bigint as per from t
-), e as (
-  select *, coalesce(sum(target) over (order by s rows between unbounded preceding and 1 preceding), 0.0) as low from t
-), b as (
-  select s, source_size, floor(low / total * {POINTS})::bigint as low,
-    case when s = (select max(s) from t) then {POINTS} else floor((low + target) / total * {POINTS})::bigint end as high, per, ceil(source_size / per)::bigint as n_blocks
-  from e, g
-), p as (
-  select t as slot, (t % {POINTS} * {STEP}) % {POINTS} as point from (select unnest(range(0, (select ceil(total / per)::bigint from g))) as t)
-), r as (
-  select b.s, n_blocks, row_number() over (partition by b.s order by slot) - 1 as k from p join b on point >= low and point < high
-), n as (
-  select s, k % n_blocks as block, count(*) as times from r where k < 3 * n_blocks group by all
 ), o as (
-  select d.doc_id, d.size, t.s, t.source_size, t.target,
+  select d.doc_id, d.size, t.source_size, t.target, least(round(t.target)::bigint, 3 * t.source_size) as words, greatest(t.source_size, 1) as n,
     coalesce(sum(d.size) over (partition by t.s order by md5(d.doc_id::varchar), d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as first
   from d join t on d.source is not distinct from t.source
-), x as (
-  select doc_id, size, s, first, unnest(range(first // per, (first + size - 1) // per + 1)) as block, per from o, g where size > 0
-), y as (
-  select x.doc_id, sum((least(first + size, (x.block + 1) * per) - greatest(first, x.block * per)) * times)::bigint as taken
-  from x join n on x.s = n.s and x.block = n.block group by 1
 )
-select o.doc_id, o.size, o.source_size, o.target, coalesce(y.taken, 0)::bigint as taken from o left join y on o.doc_id = y.doc_id
+select doc_id, size, source_size, target, (words // n * size + greatest(0, least(size, words % n - first)))::bigint as taken from o
 """

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks
-from .common import documents, shards_for, stored, texts
+from .common import documents, shards_for, stored, texts, tidy
 from .tokens import BlockEncoder, default_tokenizer
 
 CAPACITY, SEPARATOR = 4096, 1
@@ -210,6 +210,7 @@ def _places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]
     return out
 
 
+@tidy
 def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (any columns beside `length`).
 

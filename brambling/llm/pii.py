@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, documents, id_key, stored, text_key, texts
+from .common import BROADCAST_ROWS, documents, id_key, stored, text_key, texts, tidy
 
 _LOCAL, _LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 #: The base kinds in their order. Runs are possessive and begin where a run or the last match ends, so that no text takes quadratic time.
@@ -218,6 +218,7 @@ def _with_terms(docs: DataFrame, chosen: DataFrame, most: int = LITERAL_TERMS) -
     return joined.withColumn("_spans", F.sort_array(F.concat("_spans", "_own"))).drop("_terms", "_either", "_own")
 
 
+@tidy
 def find_pii(docs: DataFrame, most: int = LITERAL_TERMS) -> DataFrame:
     """doc_id and _spans (start, kind as a place in KINDS or after them for terms, end, value, before, after) of every document."""
     plain = texts(docs)
@@ -229,6 +230,7 @@ def find_pii(docs: DataFrame, most: int = LITERAL_TERMS) -> DataFrame:
     return _with_terms(keyed, chosen, most).select("doc_id", "_spans")
 
 
+@tidy
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with spans in their texts replaced: base kinds by [kind], terms by nothing. A null text stays null."""
     columns = docs.columns

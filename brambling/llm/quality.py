@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, hash_runs, mix
-from .common import documents, labels, stored, texts
+from .common import documents, labels, stored, texts, tidy
 from .words import BLANK, windows, word_hashes, words
 
 #: Labelled rows that the list is learned from, about, at most (by a hash of their ids); more labels only narrow its thresholds.
@@ -222,6 +222,7 @@ def learn(stats: DataFrame, marked: DataFrame, rows: int = TRAINING_ROWS) -> lis
     return learn_rules({n: got[n].to_numpy() for n in _features()}, got["_quality"].to_numpy() == 0, mix(got["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(3) == 0)
 
 
+@tidy
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(quality_statistics(documents(spark, sf_dir)), "quality")
     verdict = decision_list(learn(stats, labels(spark, sf_dir)))

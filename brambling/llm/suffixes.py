@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, ragged, release, words8
-from .common import documents, id_key, stored, text_key, texts
+from .common import documents, id_key, stored, text_key, texts, tidy
 
 LENGTH, ANCHOR = 50, 20
 #: Longest shift from a suffix to its anchor; a context has as many bytes before the anchor and LENGTH from it on.
@@ -468,6 +468,7 @@ def _merged(lists: list[bytes] | None, size: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+@tidy
 def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) if asked for."""
     plain = texts(docs).withColumn("_id", id_key()).withColumn("_text", text_key())
@@ -494,5 +495,6 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT, bat
     return plain.join(spans, ["_id", "_text"], "left").select("doc_id", "text", "_spans").mapInArrow(run, schema)
 
 
+@tidy
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks
-from .common import documents, stored, texts
+from .common import documents, stored, texts, tidy
 from .tokens import BlockEncoder, default_tokenizer
 
 #: Lengths that share a stretch of the two-level suffix sum.
@@ -94,5 +94,6 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
     return suffix_sums(stored(both, "limits")).join(wanted.select("length"), "length", "left_semi").select(F.col("length").alias("context_limit"), F.col("truncated_tokens").alias("total"))
 
 
+@tidy
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(documents(spark, sf_dir)))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, hash_runs
-from .common import documents, labels, stored, texts
+from .common import documents, labels, stored, texts, tidy
 from .lexicon import Matcher
 
 #: Labelled documents that are learned from, about, at most (by a hash of their ids).
@@ -185,6 +185,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.append(c[0], np.maximum(c[1:], 0))
 
 
+@tidy
 def learn(docs: DataFrame, marked: DataFrame, rows: int = TRAINING_ROWS) -> Model:
     """A model from about `rows` labelled documents at most, none of them held out."""
     marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("_toxic"))
@@ -270,5 +271,6 @@ def drop_toxic(docs: DataFrame, marked: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+@tidy
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))

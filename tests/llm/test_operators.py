@@ -438,7 +438,13 @@ def test_documents_around_a_common_passage(spark, monkeypatch):
 
     seen = {}
     real = minhash._prefix_pairs
-    monkeypatch.setattr(minhash, "_prefix_pairs", lambda found, pool: seen.setdefault(size, real(found, pool).distinct()))
+
+    def counted(found, pool):
+        pairs = real(found, pool)
+        seen[size] = pairs.distinct().count()
+        return pairs
+
+    monkeypatch.setattr(minhash, "_prefix_pairs", counted)
     for size in (200, 400):
         own = rows(size)
         docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "doc_id long, text string").repartition(4)
@@ -456,8 +462,7 @@ def test_documents_around_a_common_passage(spark, monkeypatch):
                     x, y = sorted((root(a), root(b)))
                     up[y] = x
         assert got == {i: root(i) for i in range(len(own))}
-    counts = {n: df.count() for n, df in seen.items()}
-    assert len(counts) == 2 and counts[400] <= 3 * max(50, counts[200])
+    assert len(seen) == 2 and seen[400] <= 3 * max(50, seen[200])
 
 
 def test_components_of_chains_and_stars(spark):

@@ -177,3 +177,15 @@ def test_stages_keep_the_values_of_columns_with_names_of_their_own(spark):
         assert kept and all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names)
     assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == [0, 1, 2, 3, 4, 5]
     assert all(r["n_chars"] == len(r["text"]) for r in mixing.mixed_documents(docs).collect())
+
+
+def test_scratch_tables_go_when_a_result_is_there(spark, queries):
+    from brambling.llm import common
+
+    before = len(common._made)
+    for name in ("op2_toxicity", "op6_mixing", "op9_minhash"):
+        out = queries[name](spark, "/root/testdata/sf0.001")
+        left = common._made[before:]
+        assert len(left) <= 8 and all(any(p.endswith(u) for u in common._roots(out)) for _, p in left)
+        assert out.count() == out.count() > 0
+        before = len(common._made)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brambling.llm.common import documents, labels, stored
+from brambling.llm.common import documents, labels, stored, tidy
 from brambling.llm.minhash import keep_one
 from brambling.llm.mixing import mixed_documents
 from brambling.llm.packing import pack, pieces
@@ -54,5 +54,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again for the next one."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage, name, spark, docs, sf_dir)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+@tidy
+def written(stage, name: str, spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A stage's documents as a table; what the stage itself has written goes."""
+    return stored(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -25,7 +25,8 @@ that a third of all documents share only one context for each block travels. An
 anchor of more than HOT blocks, most often a common phrase in ever new contexts,
 is split: its shorter shifts go to a bucket by the FINE bytes from the anchor on,
 which all suffixes of such shifts share, and its longer ones to a bucket by the
-bytes on either side of the anchor. Exact copies of whole documents are covered
+bytes on either side of the anchor. Where a document repeats itself, one of its
+equal contexts travels for all of them. Exact copies of whole documents are covered
 without any of that. A long document is worked on in pieces that overlap by
 LENGTH - 1 bytes.
 
@@ -350,6 +351,13 @@ def _routes(key: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.nd
     )
 
 
+def _firsts(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """For each record the first one of its document with the same key, reach and context."""
+    same = _row_hash(key ^ mix((doc.astype(np.uint64) << np.uint64(16)) + (left.astype(np.uint64) << np.uint64(8)) + right.astype(np.uint64)), context)
+    _, first, which = np.unique(same, return_index=True, return_inverse=True)
+    return first[which]
+
+
 def _travelling(docs: DataFrame, n_buckets: int, batch: int) -> DataFrame:
     """Documents with their shared anchors: rows for documents, for marks that a block makes itself, and for contexts in buckets."""
 
@@ -370,8 +378,9 @@ def _travelling(docs: DataFrame, n_buckets: int, batch: int) -> DataFrame:
             left, right = r.anchor - r.first, r.last + LENGTH - r.anchor
             mask = repeated(r.key, ids[r.doc], left, right, context)
             place = r.anchor - b.at[r.doc] + begin
-            yield _rows([_docs_row(block, b), (-block, _LOCAL, block, _pack(r.doc.astype("<i4"), place), _pack(mask), b"")])
-            rest = np.flatnonzero(mask != _all_masks(r))
+            first = _firsts(r.key, r.doc, left, right, context)
+            yield _rows([_docs_row(block, b), (-block, _LOCAL, block, _pack(r.doc.astype("<i4"), place), _pack(mask, first.astype("<i4")), b"")])
+            rest = np.flatnonzero((mask != _all_masks(r)) & (first == np.arange(len(first))))
             which, bucket, left, right = _routes(r.key[rest], left[rest], right[rest], context[rest], hot[rest], n_buckets)
             which = rest[which]
             order = np.lexsort((r.key[which], bucket))
@@ -417,9 +426,11 @@ def _spans(rows: DataFrame, n: int) -> DataFrame:
         for _, own in _grouped(batches, 2):
             ids, text_keys = _unpack(own[0][3], "<i8", "<i8")
             doc, place = _unpack(own[1][3], "<i4", "<i8")
-            mask = _unpack(own[1][4], "<u4")[0].copy()
+            mask, first = _unpack(own[1][4], "<u4", "<i4")
+            mask = mask.copy()
             for r in own[2:]:
                 np.bitwise_or.at(mask, _unpack(r[3], "<i4")[0], _unpack(r[4], "<u4")[0])
+            mask |= mask[first]
             bit = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
             record, shift = bit >> 5, bit & 31
             start, owner = place[record] - shift, doc[record]

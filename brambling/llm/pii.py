@@ -161,7 +161,7 @@ def _joint_counts(keyed: DataFrame, spanned: DataFrame) -> DataFrame:
     held = entities.groupBy("_id", "_text").agg(F.max("_copies").alias("_copies"))
 
     # words of documents with entities, with the words beside them
-    some = keyed.filter(F.size("_spans") > 0).select("_id", "_text", _own_words(F.col("text")).alias("_w")).dropDuplicates(["_id", "_text"])
+    some = spanned.filter(F.size("_spans") > 0).select("_id", "_text", "_w").dropDuplicates(["_id", "_text"])
     zipped = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.array(F.lit("")), F.col("_w")).alias("p"), F.slice("_w", F.lit(2), F.size("_w")).alias("n"))
     inside = some.select("_id", "_text", F.explode(zipped).alias("_z")).filter("_z.w is not null")
     inside = inside.groupBy("_id", "_text", F.col("_z.w").alias("_term")).agg(F.min(F.xxhash64("_z.p", "_z.n")).alias("_around"))
@@ -183,8 +183,14 @@ def _joint_counts(keyed: DataFrame, spanned: DataFrame) -> DataFrame:
     return pairs.filter((F.col("_contexts") >= MIN_CONTEXTS) | F.col("_near")).drop("_contexts", "_near")
 
 
+def _spanned(keyed: DataFrame) -> DataFrame:
+    """doc_id, _id, _text, _spans of all documents and _w, the words of those with spans, stored, so that spans are looked for once."""
+    words = F.when(F.size("_spans") > 0, _own_words(F.col("text"))).alias("_w")
+    return stored(keyed.select("doc_id", "_id", "_text", "_spans", words), "spans")
+
+
 def disclosing_terms(spanned: DataFrame, keyed: DataFrame) -> DataFrame:
-    """_term: all disclosing terms. keyed: documents with text, _id, _text and _spans, spanned: the same, stored."""
+    """_term: all disclosing terms. keyed: documents with text, _id and _text, spanned: their spans and words."""
     total = spanned.agg(F.count("*").alias("_n"))
     share, base = F.col("_n_both") / F.col("_n_term"), F.col("_n_entity") / F.col("_n")
     gain = F.log2(share / base)
@@ -223,7 +229,7 @@ def find_pii(docs: DataFrame, most: int = LITERAL_TERMS) -> DataFrame:
     """doc_id and _spans (start, kind as a place in KINDS or after them for terms, end, value, before, after) of every document."""
     plain = texts(docs)
     keyed = with_base_spans(plain.withColumn("_id", id_key()).withColumn("_text", text_key()))
-    spanned = stored(keyed.drop("text"), "spans")
+    spanned = _spanned(keyed)
     chosen = disclosing_terms(spanned, keyed)
     if chosen.isEmpty():
         return spanned.select("doc_id", "_spans")
@@ -236,7 +242,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = with_base_spans(held.withColumn("_id", id_key()).withColumn("_text", text_key()))
-    spanned = stored(keyed.select("_id", "_text", "_spans"), "spans")
+    spanned = _spanned(keyed)
     chosen = disclosing_terms(spanned, keyed)
     found = keyed if chosen.isEmpty() else _with_terms(keyed, chosen)
     # overlapping spans become one, under the kind of the first

@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: everything but these characters separates tokens.
-SEPARATORS = "[^a-z0-9áéíóúñü]+"
+_KEPT = "0123456789abcdefghijklmnopqrstuvwxyzáéíñóúü"
+
+
+def _complement(kept: str) -> str:
+    """Runs of other characters, as ranges: Java's engine takes several times as long for a negated class with signs beyond ASCII."""
+    points = [-1, *sorted(map(ord, kept)), 0x110000]
+    return "[" + "".join(rf"\x{{{a + 1:x}}}-\x{{{b - 1:x}}}" for a, b in zip(points, points[1:]) if b - a > 1) + "]+"
+
+
+SEPARATORS = _complement(_KEPT)
 
 # The Spanish stopwords, in their usual order; the forms of four verbs follow from stems and endings.
 _FUNCTION_WORDS = (
@@ -67,6 +76,20 @@ def token_rows(df: DataFrame, keys: list[str | Column], text: str = "text", stop
     return df.select(*keys, F.explode(_parts(F.col(text))).alias("term")).filter(is_token(F.col("term"), stopwords))
 
 
+def word_counts(text: Column) -> Column:
+    """Array of a text's distinct words and their numbers (term, tf), stopwords among them: the words are sorted and the runs measured, in the row."""
+
+    def starts(words: Column) -> Column:
+        found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i - 1)))
+        return F.flatten(F.transform(F.array(found), lambda first: runs(words, first)))
+
+    def runs(words: Column, first: Column) -> Column:
+        after = F.concat(F.slice(first, F.lit(2), F.size(first)), F.array(F.size(words)))
+        return F.zip_with(first, after, lambda a, b: F.struct(F.get(words, a).alias("term"), (b - a).cast("long").alias("tf")))
+
+    return F.flatten(F.transform(F.array(F.sort_array(_parts(text))), starts))  # of arrays of one, so that each is evaluated once
+
+
 # The Spanish Snowball algorithm. Its vowels, suffixes and pronouns.
 _VOWEL = "aeiouáéíóúü"
 _PRONOUNS = "selas selos sela selo las les los nos me se la le lo"

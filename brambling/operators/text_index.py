@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brambling.functions.analysis import stemmed, token_rows
+from brambling.functions.analysis import is_token, stemmed, token_rows, word_counts
 
 
 class TextIndex(NamedTuple):
@@ -35,9 +35,22 @@ def corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), label.alias("name"))
 
 
+def repeated(docs: DataFrame) -> bool:
+    """Whether rows share a doc_id; only ids are read."""
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def counted(docs: DataFrame, keys: list[str | Column], stopwords: tuple[str, ...] | None = None) -> DataFrame:
+    """The keys (the last one is the doc_id), term, tf. Words are counted within their row, without a shuffle, unless rows share an id."""
+    if repeated(docs):
+        rows = token_rows(docs, keys, stopwords=stopwords)
+        return rows.groupBy(*rows.columns).agg(F.count("*").alias("tf"))
+    return docs.select(*keys, F.inline(word_counts(F.col("text")))).filter(is_token(F.col("term"), stopwords))
+
+
 def term_frequencies(docs: DataFrame, stem: bool = False, stopwords: tuple[str, ...] | None = None) -> DataFrame:
     """term, doc_id, tf. Words are counted before they are stemmed, and only distinct words are stemmed."""
-    counts = token_rows(docs, ["doc_id"], stopwords=stopwords).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    counts = counted(docs, ["doc_id"], stopwords).select("term", "doc_id", "tf")
     if not stem:
         return counts
     stems = stemmed(counts.select("term").distinct())
@@ -99,7 +112,7 @@ def build_index(docs: DataFrame, stem: bool = True, stopwords: tuple[str, ...] |
 def last_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text, name of the last row of each id. Only ids are shuffled, unless some are repeated."""
     shown = docs.select("doc_id", "text", "name", (F.col("ord") if "ord" in docs.columns else F.monotonically_increasing_id()).alias("_ord"))
-    if shown.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    if not repeated(shown):
         return shown.drop("_ord")
     last = shown.select("doc_id", "_ord").groupBy("doc_id").agg(F.max("_ord").alias("_ord"))
     return shown.join(last, ["doc_id", "_ord"], "left_semi").select("doc_id", "text", "name")

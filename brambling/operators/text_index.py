@@ -121,7 +121,7 @@ def last_rows(docs: DataFrame) -> DataFrame:
 def blocks_by_docs(docs: DataFrame, per_block: int = 100, stopwords: tuple[str, ...] | None = None) -> DataFrame:
     """block_id, term, doc_id, tf of blocks of so many ids."""
     block = F.floor(F.col("doc_id") / per_block).alias("block_id")
-    return token_rows(docs, [block, "doc_id"], stopwords=stopwords).groupBy("block_id", "term", "doc_id").agg(F.count("*").alias("tf"))
+    return counted(docs, [block, "doc_id"], stopwords).select("block_id", "term", "doc_id", "tf")
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:

@@ -126,6 +126,13 @@ def test_words_are_counted_in_their_row(spark):
     assert sorted(map(tuple, ti.term_frequencies(again).collect())) == [("gato", 1, 8), ("perro", 1, 4), ("pez", 4, 2)]
 
 
+def test_blocks_shuffle_nothing(spark):
+    docs = _corpus(spark, [(99, "gato perro gato", "a"), (100, "gato", "b"), (101, "pez", "c")])
+    blocks = ti.blocks_by_docs(docs)
+    assert _exchanges(blocks) == 0
+    assert sorted(map(tuple, blocks.collect())) == [(0, "gato", 99, 2), (0, "perro", 99, 1), (1, "gato", 100, 1), (1, "pez", 101, 1)]
+
+
 def test_repeated_ids_add_up_and_show_the_last_row(spark):
     docs = spark.createDataFrame([(1, "gato", "old", 0), (1, "gato pez", "new", 1), (2, "pez", "x", 2)], "doc_id long, text string, name string, ord long")
     index = ti.build_index(docs, stem=False)

@@ -130,6 +130,7 @@ def test_blocks_shuffle_nothing(spark):
     docs = _corpus(spark, [(99, "gato perro gato", "a"), (100, "gato", "b"), (101, "pez", "c")])
     blocks = ti.blocks_by_docs(docs)
     assert _exchanges(blocks) == 0
+    assert _exchanges(ti.merge_blocks(blocks)) == 1
     assert sorted(map(tuple, blocks.collect())) == [(0, "gato", 99, 2), (0, "perro", 99, 1), (1, "gato", 100, 1), (1, "pez", 101, 1)]
 
 

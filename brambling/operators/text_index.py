@@ -5,9 +5,10 @@ with idf = ln(rows of the corpus / documents of the term). Rows that share a
 doc_id count as one document whose frequencies add up. Postings carry their
 document's norm, so that a search needs no join with the norms.
 
-Joins are not hinted: the dictionary is broadcast where its statistics show it to
-be small, and a term that a third of all documents have is split by the adaptive
-skew join where it is not.
+Words travel with their document as one row until they are laid out by term, and
+no join sorts: the hashed side is the dictionary or the norms. Only terms of which
+there are few, because each is in many documents, are broadcast by hint; a term
+that a third of all documents have is split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from brambling.functions.analysis import is_token, stemmed, token_rows, word_counts
 
 
+#: At most so many terms are broadcast: those that have at least this part of all postings each.
+BROADCAST_TERMS = 200_000
+
+
 class TextIndex(NamedTuple):
     """The tables of an index. stats has one row: n_build rows, n_query documents with a term, n_terms, n_postings."""
 
@@ -57,6 +62,26 @@ def term_frequencies(docs: DataFrame, stem: bool = False, stopwords: tuple[str,
     return counts.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+def document_words(docs: DataFrame, stem: bool = False, stopwords: tuple[str, ...] | None = None) -> DataFrame:
+    """doc_id, words (distinct, between blanks), tfs: the term frequencies with a short row for each document."""
+    if stem or repeated(docs):
+        rows = term_frequencies(docs, stem, stopwords)
+        listed = rows.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("_words"))
+    else:
+        listed = docs.select("doc_id", F.filter(word_counts(F.col("text")), lambda w: is_token(w["term"], stopwords)).alias("_words"))
+    return listed.select("doc_id", F.array_join("_words.term", " ").alias("words"), F.col("_words.tf").cast("array<int>").alias("tfs"))
+
+
+def _word_rows(words: DataFrame, *keys: str) -> DataFrame:
+    zipped = F.arrays_zip(F.split("words", " ").alias("term"), F.col("tfs").alias("tf"))
+    return words.filter(F.size("tfs") > 0).select(*keys, F.inline(zipped).alias("term", "tf")).withColumn("tf", F.col("tf").cast("long"))
+
+
+def flat_words(words: DataFrame) -> DataFrame:
+    """term, doc_id, tf of document_words."""
+    return _word_rows(words, "doc_id").select("term", "doc_id", "tf")
+
+
 def n_build(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_build"))
 
@@ -85,6 +110,23 @@ def postings(weighted: DataFrame, lengths: DataFrame) -> DataFrame:
     return weighted.join(lengths, "doc_id").select("term", "doc_id", "tf", "w", "norm")
 
 
+def document_norms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, norm from document_words and a dictionary as written. Frequent terms' rows meet a broadcast and add up where they are; only rare ones' are shuffled by term."""
+    n = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    often = terms.filter(F.col("df") * BROADCAST_TERMS >= n).select("term", "idf")
+    rows, seldom = flat_words(words), terms.select("term", "idf").hint("shuffle_hash")
+    rare = rows.join(F.broadcast(often.select("term")), "term", "left_anti").join(seldom, "term")  # at most BROADCAST_TERMS
+    weighted = rows.join(F.broadcast(often), "term").unionByName(rare)  # at most BROADCAST_TERMS
+    return norms(weighted.select("doc_id", (log_tf(F.col("tf")) * F.col("idf")).alias("w")))
+
+
+def laid_out(words: DataFrame, terms: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Postings from document_words, each partition sorted by term and document. Whole documents are shuffled to their norms, single words once to their term."""
+    rows = words.join(lengths.hint("shuffle_hash"), "doc_id")
+    rows = _word_rows(rows, "doc_id", "norm").join(terms.select("term", "idf").hint("shuffle_hash"), "term")
+    return rows.select("term", "doc_id", "tf", (log_tf(F.col("tf")) * F.col("idf")).alias("w"), "norm").sortWithinPartitions("term", "doc_id")
+
+
 def nested(flat: DataFrame, terms: DataFrame, most: int = 65_536) -> DataFrame:
     """term, part, postings: a row for each term with its list. A list of more than `most` postings is dealt to several parts by a hash of the document."""
     parts = F.ceil(F.col("df") / most)

@@ -102,8 +102,8 @@ class IndexStore:
 
     Each save is a version of its own, published by a marker when all its tables
     are written; readers take the newest published one, and the one before it
-    stays for those who still read it. Postings and dictionary are sorted by term
-    (or word), so that a lookup reads few pages. Tables are derived from each
+    stays for those who still read it. Each file of postings and dictionary is sorted
+    by term (or word), so that a lookup reads few pages. Tables are derived from each
     other as written: a corpus is analysed once.
     """
 
@@ -157,11 +157,10 @@ class IndexStore:
         """Builds the index of a corpus and writes it, in place of an older one of that name."""
         folder = self._new(name, "text")
         rows = text_index.n_build(docs)
-        with self.scratch(name, text_index.term_frequencies(docs, stem, stopwords)) as frequencies:
-            terms = self._write(text_index.dictionary(frequencies, rows), folder, "dictionary", ("term",))
-            weighted = text_index.weights(frequencies, terms)
-            lengths = self._write(text_index.norms(weighted), folder, "norms")
-            flat = self._write(text_index.postings(weighted, lengths), folder, "postings", ("term", "doc_id"))
+        with self.scratch(name, text_index.document_words(docs, stem, stopwords)) as words:
+            terms = self._write(text_index.dictionary(text_index.flat_words(words), rows), folder, "dictionary", ("term",))
+            lengths = self._write(text_index.document_norms(words, terms), folder, "norms")
+            flat = self._write(text_index.laid_out(words, terms, lengths), folder, "postings")
         sizes = self._write(text_index.stats(rows, lengths, terms), folder, "stats")
         shown = self._write(text_index.last_rows(docs), folder, "documents")
         self._publish(name, "text", folder, TextIndex(shown, terms, flat, lengths, sizes)._asdict())

@@ -183,6 +183,29 @@ def test_store_publishes_versions(spark, tmp_path):
     assert store.dictionary_lookup("a", ["perro", "zzz"]).count() == 1 and store.postings_batch("a", ["perro"]).count() == 2
 
 
+@pytest.mark.parametrize("most", [1, 200_000])
+@pytest.mark.parametrize("stem", [False, True])
+def test_stored_tables_equal_derived_ones(spark, tmp_path, monkeypatch, most, stem):
+    """With frequent terms only among the broadcast ones, or all of them; rows that share an id, documents without words."""
+    monkeypatch.setattr(ti, "BROADCAST_TERMS", most)
+    rows = [(i, f"gatos gato {'perros' if i % 3 else ''} w{i} canciones, canción", "a") for i in range(40)] + [(50, "de la", "b"), (51, None, "c"), (52, "", "d")]
+    for k, docs in enumerate((_corpus(spark, rows), _corpus(spark, [*rows, (3, "gato pez", "e")]))):
+        got, want = IndexStore(spark, str(tmp_path)).save_text(f"a{k}", docs, stem), ti.build_index(docs, stem)
+        for table in ("dictionary", "postings", "norms", "stats"):
+            a, b = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in getattr(index, table).collect()) for index in (got, want))
+            assert a == b and a
+        own = [[(r["term"], r["doc_id"]) for r in part] for part in got.postings.rdd.glom().collect()]
+        assert all(part == sorted(part) for part in own)
+
+
+def test_building_sorts_for_no_join(spark):
+    docs = _corpus(spark, [(1, "gato gato perro", "a"), (2, "perro", "b")])
+    words, terms = ti.document_words(docs), ti.dictionary(ti.term_frequencies(docs), ti.n_build(docs))
+    lengths = ti.document_norms(words, terms)
+    for df in (lengths, ti.laid_out(words, terms, lengths)):
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_cluster_without_a_shared_folder_is_an_error(spark):
     from types import SimpleNamespace
 

@@ -58,8 +58,9 @@ def term_frequencies(docs: DataFrame, stem: bool = False, stopwords: tuple[str,
     counts = counted(docs, ["doc_id"], stopwords).select("term", "doc_id", "tf")
     if not stem:
         return counts
-    stems = stemmed(counts.select("term").distinct())
-    return counts.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.sum("tf").alias("tf"))
+    stems = stemmed(counts.select("term").distinct()).hint("shuffle_hash")
+    rows = counts.join(stems, "term").select(F.col("stem").alias("term"), "doc_id", "tf")
+    return rows.repartition("doc_id").groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
 def document_words(docs: DataFrame, stem: bool = False, stopwords: tuple[str, ...] | None = None) -> DataFrame:

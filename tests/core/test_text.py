@@ -202,7 +202,7 @@ def test_building_sorts_for_no_join(spark):
     docs = _corpus(spark, [(1, "gato gato perro", "a"), (2, "perro", "b")])
     words, terms = ti.document_words(docs), ti.dictionary(ti.term_frequencies(docs), ti.n_build(docs))
     lengths = ti.document_norms(words, terms)
-    for df in (lengths, ti.laid_out(words, terms, lengths)):
+    for df in (lengths, ti.laid_out(words, terms, lengths), ti.term_frequencies(docs, stem=True)):
         assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
 
 

@@ -130,9 +130,10 @@ def laid_out(words: DataFrame, terms: DataFrame, lengths: DataFrame) -> DataFram
 
 def nested(flat: DataFrame, terms: DataFrame, most: int = 65_536) -> DataFrame:
     """term, part, postings: a row for each term with its list. A list of more than `most` postings is dealt to several parts by a hash of the document."""
-    parts = F.ceil(F.col("df") / most)
-    own = flat.join(terms.select("term", "df"), "term").withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
-    return own.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
+    long = terms.filter(F.col("df") > most).select("term", F.ceil(F.col("df") / most).alias("_parts"))  # at most postings / most rows
+    own = flat.join(F.broadcast(long), "term", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("_parts", F.lit(1))))
+    placed = own.select("term", "part", "doc_id", "w").repartition("term", "part")
+    return placed.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("doc_id", "w"))).alias("postings"))
 
 
 def stats(rows: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 One query is a dictionary of its analysed words and their counts: its terms are
 literals, so that they reach the scans of dictionary and postings, and its
 vector, no longer than the query itself, is broadcast. Many queries are a
-DataFrame (query_id, term, qtf) of any size; those joins are not hinted.
+DataFrame (query_id, term, qtf) of any size: they are counted, and broadcast if they
+are few, so that the postings stay where they are.
 """
 
 from __future__ import annotations
@@ -20,6 +21,15 @@ from brambling.functions.snippets import snippet
 from brambling.operators.text_index import TextIndex, log_tf
 
 
+#: Rows of query words or of query vectors that are broadcast at once.
+BROADCAST_ROWS = 300_000
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows, to be broadcast if there are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows  # counted
+
+
 def query_words(queries: DataFrame, stem: bool = False, stopwords: tuple[str, ...] | None = None) -> DataFrame:
     """query_id, term, qtf from rows with query_id and text."""
     words = token_rows(queries, ["query_id"], stopwords=stopwords).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -44,7 +54,7 @@ def analysed(spark: SparkSession, text: str, stem: bool = False, stopwords: tupl
 
 def query_vector(words: DataFrame, index: TextIndex) -> DataFrame:
     """query_id, term, wq: normalised weights of the terms that the dictionary has."""
-    raw = index.dictionary.join(words, "term").crossJoin(F.broadcast(index.stats.select("n_query")))  # one row
+    raw = index.dictionary.join(_few(words), "term").crossJoin(F.broadcast(index.stats.select("n_query")))  # one row
     raw = raw.select("query_id", "term", (log_tf(F.col("qtf")) * F.ln(F.col("n_query") / F.col("df"))).alias("raw"))
     length = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return raw.join(length, "query_id").select("query_id", "term", F.when(F.col("length") > 0, F.col("raw") / F.col("length")).otherwise(F.col("raw")).alias("wq"))
@@ -62,7 +72,7 @@ def one_vector(words: dict[str, int], index: TextIndex) -> dict[str, float]:
 
 def partial_scores(vector: DataFrame, index: TextIndex) -> DataFrame:
     """query_id, doc_id, dot, norm: every document with a query term, even where the product is 0."""
-    hits = index.postings.join(vector, "term")
+    hits = index.postings.join(_few(vector), "term")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("dot"), F.max("norm").alias("norm"))
 
 

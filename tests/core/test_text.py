@@ -168,6 +168,17 @@ def test_lists_are_shuffled_once(spark):
     assert _exchanges(plan) == 1 and "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_postings_stay_for_few_queries(spark, tmp_path):
+    index = IndexStore(spark, str(tmp_path)).save_text("a", _corpus(spark, [(1, "gato gato perro", "x"), (2, "perro", "y")]), stem=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        vector = ts.query_vector(ts.one_query(spark, "gato"), index)
+        plan = ts.partial_scores(vector, index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin Inner" not in plan.split("BroadcastExchange")[0] and "BroadcastHashJoin [term" in plan
+
+
 def test_block_plan():
     assert ti.plan_blocks(18_000, 512) == (8738, 3) and ti.plan_blocks(0)[1] == 1
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from brambling.operators.text_index import TextIndex, log_tf
 
 #: Rows of query words or of query vectors that are broadcast at once.
 BROADCAST_ROWS = 300_000
+#: Scores of queries and documents in one task of a batch, at most.
+PAIRS = 1_000_000
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -109,6 +112,22 @@ def top_k_each(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+def search_each(vector: DataFrame, index: TextIndex, k: int) -> DataFrame:
+    """The same from the queries' vectors. What the queries share with a document is added up and ranked where its postings meet: a posting is shuffled once to its document, whatever the number of queries, and then the k best of each task. More queries than are broadcast at once are searched one part after the other, a query in one part."""
+    rows, queries = vector.agg(F.count("*"), F.countDistinct("query_id")).first()
+    parts = max(1, math.ceil(rows / BROADCAST_ROWS))
+    pairs = math.ceil(queries / parts) * index.stats.first()["n_query"]
+    tasks = max(int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, math.ceil(pairs / PAIRS)))
+    found = []
+    for i in range(parts):
+        asked = F.broadcast(vector.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i))  # about BROADCAST_ROWS
+        own = index.postings.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")  # no more than these
+        hits = own.select("term", "doc_id", "w", "norm").repartition(tasks, "doc_id").join(asked, "term")
+        sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("w")).alias("_dot"), F.max("norm").alias("_norm"))
+        found.append(top_k_each(sums.select("query_id", "doc_id", F.round(cosine(F.col("_dot"), F.col("_norm")), 6).alias("score")), k))
+    return reduce(DataFrame.union, found)
+
+
 def search(index: TextIndex, words: dict[str, int], k: int = 10) -> DataFrame:
     """doc_id, score of one query's words."""
     return top_k(scores(one_vector(words, index), index).select("doc_id", "score"), k)

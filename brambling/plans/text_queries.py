@@ -136,7 +136,7 @@ def text_search_empty(spark, d):
 def text_search_batch(spark, d):
     index = _index(spark, d)
     asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return ts.top_k_each(ts.cosine_scores(ts.query_vector(ts.query_words(asked), index), index), K)
+    return ts.search_each(ts.query_vector(ts.query_words(asked), index), index, K)
 
 
 def text_search_stemmed(spark, d):

@@ -168,6 +168,21 @@ def test_lists_are_shuffled_once(spark):
     assert _exchanges(plan) == 1 and "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("rows", [2, 300_000])
+def test_batches_equal_single_searches(spark, monkeypatch, rows):
+    """All queries at once, or in parts; also a query without known words, and ties."""
+    words = ["gato", "perro", "pez", "ave", "sol"]
+    index = ti.build_index(_corpus(spark, [(i, " ".join(words[j] for j in range(5) if (i * 7 + j * 3) % (j + 2) == 0) or "mar", "a") for i in range(40)]), stem=False)
+    asked = {1: "gato perro", 2: "pez", 3: "sol sol ave", 4: "zzz", 5: "mar gato"}
+    want = {q: [tuple(r) for r in ts.search(index, ts.analysed(spark, text), 4).collect()] for q, text in asked.items()}
+    monkeypatch.setattr(ts, "BROADCAST_ROWS", rows)
+    vector = ts.query_vector(ts.query_words(spark.createDataFrame(list(asked.items()), "query_id long, text string")), index)
+    got = sorted(map(tuple, ts.search_each(vector, index, 4).collect()))
+    assert got == [(q, k + 1, *hit) for q in sorted(want) for k, hit in enumerate(want[q])] and len(got) == 16
+    with pytest.raises(ValueError):
+        ts.search_each(vector, index, -1)
+
+
 def test_postings_stay_for_few_queries(spark, tmp_path):
     index = IndexStore(spark, str(tmp_path)).save_text("a", _corpus(spark, [(1, "gato gato perro", "x"), (2, "perro", "y")]), stem=False)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)

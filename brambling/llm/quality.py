@@ -37,10 +37,10 @@ _MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 
 
 def _per_doc(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    if not len(flags):
-        return np.zeros(len(at) - 1, np.int64)
-    out = np.add.reduceat(flags.view(np.uint8), np.minimum(at[:-1], len(flags) - 1), dtype=np.int64)
-    out[at[1:] == at[:-1]] = 0
+    out = np.zeros(len(at) - 1, np.int64)
+    full = at[1:] > at[:-1]  # an empty text has no place of its own, wherever it stands
+    if full.any():
+        out[full] = np.add.reduceat(flags.view(np.uint8), at[:-1][full], dtype=np.int64)
     return out
 
 

@@ -364,6 +364,14 @@ def test_quality(spark, docs, rows, none):
     assert quality.quality_statistics(none).count() == 0
 
 
+def test_quality_counts_before_empty_texts():
+    """A block that ends with empty texts, one of empty texts only, and one without texts."""
+    for texts in (["a#", "", "b 1A.", "", None], ["", "x!", "é%"], ["", None], []):
+        found = [quality.statistics(b) for b in blocks(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])]))]
+        for name, own in (("word_chars", r"[^\x20]"), ("n_symbols", "[#%]"), ("n_digits", "[0-9]"), ("n_capitals", "[A-Z]"), ("n_marks", "[.!]")):
+            assert [int(x) for f in found for x in f[name]] == [len(re.findall(own, t or "")) for t in texts], name
+
+
 def test_quality_rules_are_learned_and_held_out():
     rnd = np.random.default_rng(2)
     n = 4000

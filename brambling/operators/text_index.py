@@ -173,6 +173,11 @@ def merge_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
 
 
+def merge_dictionaries(blocks: DataFrame) -> DataFrame:
+    """term, df, cf of all blocks together, if no document has postings of one term in two rows, as in blocks_by_docs: then what the blocks say of a term adds up, and postings stay where they are. Other blocks go through merge_blocks first."""
+    return blocks.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 def plan_blocks(total_docs: int, available_ram_mb: int = 512, doc_bytes: int = 30 * 1024) -> tuple[int, int]:
     """Documents in a block that half the memory holds, and how many blocks that makes."""
     per_block = int(available_ram_mb * 0.5 * 1024 * 1024 / doc_bytes)

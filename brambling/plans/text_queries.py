@@ -68,8 +68,7 @@ def blocks_by_docs(spark, d):
 
 
 def block_merge_equals_direct(spark, d):
-    merged = ti.merge_blocks(ti.blocks_by_docs(_docs(spark, d)))
-    return merged.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return ti.merge_dictionaries(ti.blocks_by_docs(_docs(spark, d)))
 
 
 def postings_weighted(spark, d):

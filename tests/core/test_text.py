@@ -135,6 +135,19 @@ def test_blocks_shuffle_nothing(spark):
     assert sorted(map(tuple, blocks.collect())) == [(0, "gato", 99, 2), (0, "perro", 99, 1), (1, "gato", 100, 1), (1, "pez", 101, 1)]
 
 
+def test_block_merge_shuffles_terms_not_postings(spark):
+    """One exchange by term, of rows that were added up before it; the same as by way of the postings, with ids repeated, null and below zero."""
+    plan = registry.queries()["block_merge_equals_direct"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert len(keys) == 1 and re.fullmatch(r"term#\d+", keys[0]) and plan.count("HashAggregate") == 2
+    rows = [(99, "gato perro gato", "a"), (100, "gato", "b"), (101, "pez", "c"), (-1, "pez pez", "d"), (None, "gato", "e"), (205, "", "f"), (206, None, "g")]
+    for more in ([], [(99, "gato pez", "h"), (None, "gato luna", "i"), (205, "luna", "j")]):
+        blocks = ti.blocks_by_docs(_corpus(spark, rows + more).repartition(3))
+        direct = ti.merge_blocks(blocks).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        assert sorted(map(tuple, ti.merge_dictionaries(blocks).collect())) == sorted(map(tuple, direct.collect()))
+    assert ("gato", 3, 6) in map(tuple, ti.merge_dictionaries(blocks).collect())
+
+
 def test_repeated_ids_add_up_and_show_the_last_row(spark):
     docs = spark.createDataFrame([(1, "gato", "old", 0), (1, "gato pez", "new", 1), (2, "pez", "x", 2)], "doc_id long, text string, name string, ord long")
     index = ti.build_index(docs, stem=False)
